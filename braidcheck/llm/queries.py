@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .idfiles import op10_token_id_files
 from .packing import op6_best_fit_packing
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_token_id_files": op10_token_id_files,
 }
 
 ORACLES: dict[str, str] = {}
