@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .idfiles import op10_token_id_files
+from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 
 QUERIES = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_token_id_files": op10_token_id_files,
 }
