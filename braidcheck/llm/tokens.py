@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries after which a worker's cache becomes the older of its two generations; it bounds the cache's memory.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 #: Stretches longer than this many characters are encoded but not kept.
 LONGEST_KEPT = 64
 #: So many stretches are gathered before the new ones among them are encoded.
@@ -78,7 +78,8 @@ class CachedEncoder:
         sorts: dict[str, list[str]] = {lead: [] for lead in self.marks}
         for p in parts:
             lead = p[0] if p[0] in " \n" else ""
-            if lead in sorts and SEPARATOR not in p and p[len(lead):].isprintable() and p[len(lead):].strip() == p[len(lead):] != "":
+            word = p[1:] if lead else p
+            if lead in sorts and SEPARATOR not in p and word.isprintable() and " " not in word and word:
                 sorts[lead].append(p)
             else:
                 alone.append(p)
@@ -107,17 +108,18 @@ class CachedEncoder:
 
     def _join(self, texts: list[list[str]]) -> list[bytes]:
         kept, older = self.kept, self.older
-        new = set(chain.from_iterable(texts)).difference(kept)
-        kept.update({p: older[p] for p in new if p in older})
-        kept.update(self._encode([p for p in new if p not in kept]))
-        out = [b"".join(map(kept.__getitem__, parts)) for parts in texts]
+        found = [list(map(kept.get, parts)) for parts in texts]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {parts[i] for parts, places in zip(texts, gaps) for i in places}
+        fresh = {p: older[p] for p in new if p in older}
+        fresh.update(self._encode([p for p in new if p not in fresh]))
+        for parts, ids, places in zip(texts, found, gaps):
+            for i in places:
+                ids[i] = fresh[parts[i]]
+        kept.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_KEPT)
         if len(kept) > CACHE_ENTRIES:
-            self.kept, self.older = {"": b""}, {p: x for p, x in kept.items() if len(p) <= LONGEST_KEPT}
-        else:
-            for p in new:
-                if len(p) > LONGEST_KEPT:
-                    del kept[p]
-        return out
+            self.kept, self.older = {"": b""}, kept
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[tuple, CachedEncoder] = {}
