@@ -82,21 +82,21 @@ def _slabs(items, size):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document; without words n_shingles is 0 and the rest null."""
+    """One row per document; without words n_shingles is 0 and the rest is of no use."""
 
     def run(batches):
         for pdf in batches:
             sets = ((d, shingle_set(t)) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()))
             for some in _slabs(sets, lambda x: len(x[1])):
                 full = [x for x in some if len(x[1])]
-                rows = [(d, 0, None, None, None, None) for d, s in some if not len(s)]
+                rows = [(d, 0, 0, 0, None, None) for d, s in some if not len(s)]
                 if full:
                     low = minima([s for _, s in full])
                     keys, bits = band_keys(low).view(np.int64), low_bits(low).view(np.int64)
                     for (d, s), k, b in zip(full, keys, bits, strict=True):
                         f = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                         rows.append((d, len(s), int.from_bytes(f[:8], "little", signed=True), int.from_bytes(f[8:], "little", signed=True), k, b))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp1", "fp2", "bands", "bits"]).astype({"fp1": "Int64", "fp2": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp1", "fp2", "bands", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SKETCH)
 
@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = connected_components(links.union(more), f"{folder}/second")
 
     found = classes.join(part.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
-    out = base.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    keyed = base.withColumn("fp1", F.when(F.col("n_shingles") > 0, F.col("fp1")).otherwise(F.col("doc_id")))
+    out = keyed.select("doc_id", "n_shingles", "fp1", "fp2").join(found.withColumn("full", F.lit(True)), ["fp1", "fp2"], "left")
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("full"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from .idfiles import op10_token_id_files
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .substrings import op8_suffix_array_dedup
 
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_token_id_files": op10_token_id_files,
 }
 
