@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .idfiles import op10_token_id_files
+from .language import op2_language_id
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .substrings import op8_suffix_array_dedup
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
