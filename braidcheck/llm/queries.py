@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_benchmark_decontamination
 from .idfiles import op10_token_id_files
 from .language import op2_language_id
 from .neardup import op4_minhash_near_dedup
@@ -11,6 +12,7 @@ from .substrings import op8_suffix_array_dedup
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_token_id_files": op10_token_id_files,
