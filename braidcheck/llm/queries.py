@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import op5_benchmark_decontamination
 from .idfiles import op10_token_id_files
 from .language import op2_language_id
+from .maxent import op3_lm_scoring
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .substrings import op8_suffix_array_dedup
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
