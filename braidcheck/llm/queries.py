@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op5_benchmark_decontamination
+from .fingerprints import op1_document_fingerprints
 from .idfiles import op10_token_id_files
 from .language import op2_language_id
 from .maxent import op3_lm_scoring
@@ -11,6 +12,7 @@ from .packing import op6_best_fit_packing
 from .substrings import op8_suffix_array_dedup
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
