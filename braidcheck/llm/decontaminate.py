@@ -23,14 +23,16 @@ K1, B = 1.2, 0.75
 #: The least score of a passage for an item, as a share of the item's own.
 THRESHOLD = 0.5
 #: Items of one block of the index.
-BLOCK = 8
+BLOCK = 4
 WORDS = 5
 #: The share of a question's and of an answer's words that shared runs of WORDS words must cover.
 OVERLAP = 0.75
 #: Bounds on an index that is sent to all executors; a larger benchmark is searched in several turns.
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 32_000_000
 #: Words of passages that are searched together.
-SLAB = 400_000
+SLAB = 200_000
+#: Cells up to which an index's greatest weights by word and block are a full table.
+DENSE = 4_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -60,6 +62,8 @@ class Index:
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     longest: int = 0
+    #: (word, block) -> items, weights and the greatest weight of its postings there.
+    parts: dict[tuple[int, int], tuple[list[int], list[float], float]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
@@ -91,10 +95,16 @@ class Index:
             np.add.at(own, items_, weight)
             out.postings.append((items_, weight))
         out.postings = [(i, w / own[i]) for i, w in out.postings]
+        for t, (items_, weight) in enumerate(out.postings):
+            of = items_ // BLOCK
+            edges = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
+            for lo, hi in zip(edges, edges[1:]):
+                some = weight[lo:hi].tolist()
+                out.parts[t, int(of[lo])] = (items_[lo:hi].tolist(), some, max(some))
         return out
 
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word, from starts[word] on: blocks that hold it and its greatest weight in each."""
+    def blocks(self) -> tuple:
+        """For each word, from starts[word] on: blocks that hold it and its greatest weight in each; and the same as a full table if it is small."""
         starts, block, most = [0], [], []
         for items, weight in self.postings:
             of = items // BLOCK
@@ -102,7 +112,11 @@ class Index:
             block.append(of[first])
             most.append(np.maximum.reduceat(weight, first))
             starts.append(starts[-1] + len(first))
-        return np.array(starts), np.concatenate(block), np.concatenate(most)
+        table_, n_blocks = None, -(-len(self.ids) // BLOCK)
+        if len(self.postings) * n_blocks <= DENSE:
+            table_ = np.zeros((len(self.postings), n_blocks), dtype=np.float32)
+            table_[np.repeat(np.arange(len(self.postings)), np.diff(starts)), np.concatenate(block)] = np.concatenate(most)
+        return np.array(starts), np.concatenate(block), np.concatenate(most), table_
 
 
 def wand(index: Index, terms: list[int], blocks: set[int], threshold: float) -> list[tuple[int, float]]:
@@ -114,12 +128,7 @@ def wand(index: Index, terms: list[int], blocks: set[int], threshold: float) ->
     """
     out = []
     for block in sorted(blocks):
-        lists = []
-        for t in terms:
-            items, weight = index.postings[t]
-            lo, hi = np.searchsorted(items, [block * BLOCK, (block + 1) * BLOCK])
-            if lo < hi:
-                lists.append([items[lo:hi].tolist(), weight[lo:hi].tolist(), 0, float(weight[lo:hi].max())])
+        lists = [[x[0], x[1], 0, x[2]] for t in terms if (x := index.parts.get((t, block)))]
         while lists:
             lists.sort(key=lambda x: x[0][x[2]])
             bound, pivot = 0.0, None
@@ -185,46 +194,60 @@ def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, LEAKS)
 
 
+def _bounds(index: Index, blocks, stretch: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """(n, blocks) sums of the greatest weights that the terms of each stretch have in each block; stretches ascend."""
+    starts, block_of, most, table_ = blocks
+    n_blocks = -(-len(index.ids) // BLOCK)
+    if table_ is not None:
+        out = np.zeros((n, n_blocks), dtype=np.float32)
+        first = np.flatnonzero(np.diff(stretch, prepend=-1))
+        for at in range(0, len(first), 512):  # a few stretches at a time stay in the cache
+            some = first[at : at + 512]
+            lo, hi = some[0], first[at + 512] if at + 512 < len(first) else len(term)
+            out[stretch[some]] = np.add.reduceat(table_[term[lo:hi]], some - lo, axis=0)
+        return out
+    count = starts[term + 1] - starts[term]
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(starts[term], count) + within
+    return np.bincount(np.repeat(stretch, count) * n_blocks + block_of[at], weights=most[at], minlength=n * n_blocks).reshape(n, n_blocks)
+
+
 def _passages(index: Index, blocks, doc_ids, texts, base, rows) -> None:
-    """Passages of twice the longest item's words begin at every such length, so each item that a text holds lies whole in one."""
+    """Texts are cut into stretches of the longest item's words; two in a row are a passage, so each item that a text holds lies whole in one."""
     step = index.longest
-    starts, block_of, most = blocks
     all_words, terms, place = [], [], []
-    passages: list[tuple[int, int]] = []
+    starts: list[tuple[int, int]] = []
+    follows: list[bool] = []
     for d, text in enumerate(texts):
         words = words_of(text)
         all_words.append(words)
-        if not words:
-            continue
         ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         hit = np.flatnonzero(ids >= 0)
         if not len(hit):
             continue
-        n = max(1, -(-(len(words) - step) // step))
-        chunk = hit // step
-        for own in (chunk, chunk - 1):  # a word belongs to the passages that begin in its stretch and in the one before
-            ok = (own >= 0) & (own < n)
-            terms.append(ids[hit[ok]])
-            place.append(own[ok] + len(passages))
-        passages += [(d, p * step) for p in range(n)]
+        n = -(-len(words) // step)
+        terms.append(ids[hit])
+        place.append(hit // step + len(starts))
+        starts += [(d, p * step) for p in range(n)]
+        follows += [True] * (n - 1) + [False]
     if not terms:
         return
-    pair = np.unique(np.concatenate(place) * len(index.postings) + np.concatenate(terms))
-    passage, term = np.divmod(pair, len(index.postings))
-    count = starts[term + 1] - starts[term]
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(starts[term], count) + within
-    n_blocks = -(-len(index.ids) // BLOCK)
-    key, where = np.unique(np.repeat(passage, count) * n_blocks + block_of[at], return_inverse=True)
-    bound = np.bincount(where, weights=most[at])
-    alive: dict[int, set[int]] = {}
-    for k in key[bound >= THRESHOLD - 1e-9].tolist():
-        alive.setdefault(k // n_blocks, set()).add(k % n_blocks)
-    for p, some in alive.items():
-        d, start = passages[p]
-        lo, hi = np.searchsorted(passage, [p, p + 1])
+    stretch, term = np.divmod(np.unique(np.concatenate(place) * len(index.postings) + np.concatenate(terms)), len(index.postings))
+    bound = _bounds(index, blocks, stretch, term, len(starts))
+    # A word of both stretches counts twice here, which keeps it a bound.
+    more = np.array(follows)
+    bound[:-1] += np.where(more[:-1, None], bound[1:], 0)
+    for p in np.flatnonzero((bound >= THRESHOLD - 1e-4).any(axis=1)).tolist():
+        d, start = starts[p]
+        if not more[p] and start:
+            continue  # the last stretch of a longer text belongs to the passage before
+        lo, hi = np.searchsorted(stretch, [p, p + 1 + more[p]])
+        own = np.unique(term[lo:hi])
+        live = np.flatnonzero(_bounds(index, blocks, np.zeros(len(own), dtype=np.int64), own, 1)[0] >= THRESHOLD - 1e-4)
+        if not len(live):
+            continue
         words = all_words[d][start : start + 2 * step]
-        for item, score in wand(index, term[lo:hi].tolist(), some, THRESHOLD):
+        for item, score in wand(index, own.tolist(), set(live.tolist()), THRESHOLD):
             question, answer = (overlap(x, words) for x in index.texts[item])
             if question >= OVERLAP and answer >= OVERLAP:
                 got = (doc_ids[d], index.ids[item], start, score, question, answer)
