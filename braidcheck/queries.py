@@ -400,7 +400,7 @@ ORACLES = {
     "gfa_scan_records": _on_lines("SELECT x[1] AS kind, count(*) AS n, CAST(sum(len(x)) AS BIGINT) AS n_fields FROM f GROUP BY 1"),
     "gfa_header_version": _on_lines("SELECT substr(x[2], 6) AS version FROM f WHERE x[1] = 'H'"),
     "segment_scan": _on_lines(f"SELECT line_no, name, q AS sequence, q <> '*' AND NOT regexp_matches(q, '{_BAD}') AS valid FROM fs"),
-    "path_scan": _on_lines("SELECT line_no, identifier, CASE WHEN NOT bad THEN len(t) END AS n_steps, "overlaps" FROM pp"),
+    "path_scan": _on_lines("SELECT line_no, identifier, CASE WHEN NOT bad THEN len(t) END AS n_steps, \"overlaps\" FROM pp"),
     "walk_scan": _on_lines("""SELECT line_no, identifier, CASE WHEN NOT bad THEN len(regexp_extract_all(t, '[><][^><]+')) END AS n_steps, s = '*' AND e = '*' AS unbounded,
       coalesce(TRY_CAST(s AS BIGINT) < TRY_CAST(e AS BIGINT), false) AS ranged FROM fw"""),
     "path_steps_parse": _on_lines("SELECT line_no, CASE WHEN NOT bad THEN left(t[1], -1) END AS first_segment, CASE WHEN NOT bad THEN right(t[1], 1) END AS first_orientation, bad AS malformed FROM pp"),
@@ -415,7 +415,7 @@ ORACLES = {
     "numeric_name": f"WITH {_NAMES} SELECT name, CAST(v AS VARCHAR) AS number FROM nn",
     "canonical_segment": f"WITH {_NAMES} SELECT name, CASE WHEN v > 0 THEN concat('#', v) ELSE concat('$', name) END AS key FROM nn",
     "identifier_mapping": "SELECT CAST(c_custkey AS BIGINT) AS custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN concat('s', c_nationkey, '#1#', c_name) ELSE concat('pre-', c_name) END AS identifier FROM customer",
-    "overlap_blunt": _on_lines("SELECT line_no, "overlaps" = '*' AS blunt FROM pp"),
+    "overlap_blunt": _on_lines("SELECT line_no, \"overlaps\" = '*' AS blunt FROM pp"),
     "sha256_sequence": _base("SELECT name, sha256(upper(lower(sequence))) AS sha256 FROM seg"),
     "dup_source_ids": """SELECT identifier, source_index, record_no FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY source_index, record_no) AS k FROM
       (SELECT concat('n', c_nationkey, '-', c_custkey % 50) AS identifier, CAST(c_custkey % 3 AS BIGINT) AS source_index, CAST(c_custkey AS BIGINT) AS record_no FROM customer)) WHERE k > 1""",
@@ -452,7 +452,7 @@ ORACLES = {
       SELECT 3 AS level, CAST(NULL AS BIGINT) AS source_index, CAST(NULL AS VARCHAR) AS record_type, {_AGG} FROM oc
       UNION ALL SELECT 1, source_index, NULL, {_AGG} FROM oc WHERE source_index IS NOT NULL GROUP BY source_index
       UNION ALL SELECT 2, NULL, 'P', {_AGG} FROM oc WHERE g IS NOT NULL)"""),
-    "record_counts": _on_lines("SELECT (SELECT count(*) FROM fp) AS path_records, (SELECT bool_or("overlaps" = '*') FROM fp) AS starred, (SELECT count(*) FROM fw) AS walk_records"),
+    "record_counts": _on_lines("SELECT (SELECT count(*) FROM fp) AS path_records, (SELECT bool_or(\"overlaps\" = '*') FROM fp) AS starred, (SELECT count(*) FROM fw) AS walk_records"),
     "walks_per_identifier": _base("SELECT identifier, count(*) AS n FROM w GROUP BY 1"),
     "distinct_names": _on_lines("SELECT 'P' AS record_type, count(DISTINCT identifier) AS n FROM fp UNION ALL SELECT 'W', count(DISTINCT identifier) FROM fw"),
     "union_sources": "SELECT CAST(1 AS BIGINT) AS source_index, concat('c', c_custkey) AS identifier FROM customer UNION ALL SELECT 2, concat('s', s_suppkey) FROM supplier",
