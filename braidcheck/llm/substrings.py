@@ -27,8 +27,10 @@ LENGTH = 400
 GRAM = 50
 WINDOW = LENGTH - GRAM + 1
 BACK = LENGTH - GRAM
-#: A gram with more classes than this is resolved by counting hashes.
-HOT_CLASSES = 1500
+#: A gram with more classes than this is resolved by counting hashes; so many take about 20 MB to sort.
+HOT_CLASSES = 20_000
+#: Rows that a Python task hands on at once.
+ROWS_AT_ONCE = 20_000
 #: Sizes of the blocks of string starts whose hashes are counted, one after another.
 STEPS = (64, 8, 1)
 #: Bytes whose grams are hashed at once.
@@ -102,12 +104,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for i, times in zip(first.tolist(), n.tolist()):
             rows.append((0, int(gram[i].view(np.int64)), int(whole[i].view(np.int64)), doc_id, int(at[i]), int(l[i]), int(r[i]), times))
 
+    columns = ["kind", "gram", "class", "doc_id", "pos", "l", "r", "n"]
+
     def run(batches):
         for pdf in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 one(doc_id, text, rows)
-            yield pd.DataFrame(rows, columns=["kind", "gram", "class", "doc_id", "pos", "l", "r", "n"])
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.mapInPandas(run, OCCURRENCES)
 
@@ -159,6 +166,9 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x in some:
                     p = x["pos"]
                     rows.append((*[x[c] for c in rest], raw[p - x["l"] : p][::-1], raw[p : p + x["r"]]))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=[*rest, "before", "after"])
+                    rows = []
             yield pd.DataFrame(rows, columns=[*rest, "before", "after"])
 
     return docs.join(asked, "doc_id").select("text", "asked").mapInPandas(run, schema)
@@ -242,12 +252,13 @@ def _counted_groups(around: DataFrame, folder: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, spans): merged stretches of bytes that belong to a repeated string of LENGTH bytes."""
     seen = written(occurrences(docs), folder, "anchors")
-    real = seen.where("kind = 0")
-    classes = real.groupBy("gram", "class").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "pos", "l", "r")).alias("at"))
-    classes = written(classes, folder, "classes")
-    grams = classes.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes"), F.min("n").alias("rarest")).where("all > 1")
-    classes = classes.join(grams, "gram").select("gram", "class", "n", "at.*", "classes", "rarest")
-    classes = written(classes, folder, "repeated")
+    # Grams that occur once are most of all and go first; their count is summed up before it is shuffled.
+    again = seen.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
+    real = written(seen.where("kind = 0").drop("kind").join(again, "gram", "left_semi"), folder, "repeated")
+    # Any occurrence can stand for its class; all firsts of a group are of one row.
+    classes = real.groupBy("gram", "class").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "pos", "l", "r")])
+    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("rarest"))
+    classes = written(classes.join(grams, "gram"), folder, "classes")
 
     asked = classes.where("classes > 1 and rarest = 1").select("gram", "class", "n", "doc_id", "pos", "l", "r", (F.col("classes") > HOT_CLASSES).alias("hot"))
     around = written(_surroundings(docs, asked), folder, "around")
