@@ -201,6 +201,7 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
                 stream = store.open_output_stream(own)
                 writer = Writer(stream)
             writer.append(pdf["doc_id"].tolist(), [ids + end for ids in encode(pdf["text"].tolist())])
+        encode.rest()
         if store is not None:
             writer.close()
             stream.close()

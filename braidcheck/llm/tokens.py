@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries after which a worker's cache becomes the older of its two generations; it bounds the cache's memory.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 #: Stretches longer than this many characters are encoded but not kept.
 LONGEST_KEPT = 64
 #: So many stretches are gathered before the new ones among them are encoded.
@@ -25,9 +25,12 @@ JOINED = 200
 
 _UNSAFE_SPLIT = re.compile("[\x1c-\x1f]")
 _PLAIN_CASE = re.compile("[\x00-\u012f\u0131-\u024f]*")
-_ODD_SPACE = re.compile(r"\s\s|[\x1c-\x1f]|^\s|\s$|[^\S \n]")
-_LED = re.compile(r"[ \n]?[^ \n]+")
+#: A comma or full stop that continues a run of other signs, and so is no stretch of its own.
+_IN_RUN = re.compile(r"[.,](?<=[^\w\s].|_.)")
+_IN_RUN_OR_LED = re.compile(r"[.,](?<=[\W_].)")
 _INNER_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
+#: Marks a stretch that no blank leads; texts that hold it take the careful way.
+BARE = "\x1f"
 
 
 def public_path(name: str) -> str:
@@ -40,15 +43,25 @@ def blank_separated(text: str) -> list[str]:
     """Stretches for a tokenizer that lower-cases and drops all white space between words."""
     if _UNSAFE_SPLIT.search(text):
         return text.split(" ")
-    return (text.lower() if _PLAIN_CASE.fullmatch(text) else text).split()
+    if _PLAIN_CASE.fullmatch(text):
+        text = text.lower()
+    if not _IN_RUN.search(text):
+        text = text.replace(",", " ,").replace(".", " .")
+    return text.split()
 
 
 def blank_led(text: str) -> list[str]:
-    """Stretches for a tokenizer that glues a single blank to the word after it."""
-    if not _ODD_SPACE.search(text):
-        return _LED.findall(text)
-    first, *rest = _INNER_SPACE.split(text)
-    return [first, *[" " + x for x in rest]]
+    """Stretches for a tokenizer that glues a single blank to the word after it, by name: the blank is left out, and BARE leads what no blank leads."""
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # single blanks and line feeds between words, nothing else
+        first, *rest = text.replace("\n", " \n").split(" ") if _IN_RUN_OR_LED.search(text) else text.replace("\n", " \n").replace(",", " \x1f,").replace(".", " \x1f.").split(" ")
+    else:
+        first, *rest = _INNER_SPACE.split(text)
+    return [BARE + first, *rest]
+
+
+def led_text(name: str) -> str:
+    """The text of a stretch that blank_led names."""
+    return name[1:] if name[:1] == BARE else name if name[:1] == "\n" else " " + name
 
 
 class CachedEncoder:
@@ -61,15 +74,17 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.stretches = stretches
-        self.kept: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.text_of = led_text if stretches is blank_led else str
         if stretches is blank_led:
             self.marks = {" ": (" " + SEPARATOR, one(" " + SEPARATOR)[0], 0), "\n": ("\n" + SEPARATOR, one(SEPARATOR)[0], 1)}
         else:
             self.marks = {"": (f" {SEPARATOR} ", one(SEPARATOR)[0], 0)}
 
     def _apart(self, parts: list[str]) -> list[bytes]:
+        parts = [self.text_of(p) for p in parts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
     def _encode(self, parts: list[str]) -> dict[str, bytes]:
@@ -77,9 +92,10 @@ class CachedEncoder:
         alone: list[str] = []
         sorts: dict[str, list[str]] = {lead: [] for lead in self.marks}
         for p in parts:
-            lead = p[0] if p[0] in " \n" else ""
-            word = p[1:] if lead else p
-            if lead in sorts and SEPARATOR not in p and word.isprintable() and " " not in word and word:
+            text = self.text_of(p)
+            lead = text[:1] if text[:1] in (" ", "\n") else ""
+            word = text[1:] if lead else text
+            if lead in sorts and word and word.isprintable() and SEPARATOR not in word and " " not in word:
                 sorts[lead].append(p)
             else:
                 alone.append(p)
@@ -88,7 +104,7 @@ class CachedEncoder:
             glue, mark, before = self.marks[lead]
             for at in range(0, len(joined), JOINED):
                 some = joined[at : at + JOINED]
-                ids = np.array(self.tokenizer.encode(glue.join(some), add_special_tokens=False).ids, dtype="<u4")
+                ids = np.array(self.tokenizer.encode(glue.join(map(self.text_of, some)), add_special_tokens=False).ids, dtype="<u4")
                 marks = np.flatnonzero(ids == mark)
                 raw, start = ids.tobytes(), 0
                 for p, end in zip(some, [*(marks - before).tolist(), len(ids)], strict=True):
@@ -118,10 +134,15 @@ class CachedEncoder:
                 ids[i] = fresh[parts[i]]
         kept.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_KEPT)
         if len(kept) > CACHE_ENTRIES:
-            self.kept, self.older = {"": b""}, kept
+            self.kept, self.older = {}, kept
         return [b"".join(ids) for ids in found]
 
 
+    def rest(self) -> None:
+        """Called at the end of a task: a worker that waits, or does other work, keeps the younger generation only."""
+        self.older = {}
+
+
 _encoders: dict[tuple, CachedEncoder] = {}
 
 
