@@ -75,8 +75,13 @@ def _words(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    return hashes_of_words(lower, starts, ends)
+
+
+def hashes_of_words(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words of lower-cased bytes; no more than about SLICE bytes at once."""
     sums = prefix_sums(lower)
-    _, down = powers(len(data) + 1)
+    _, down = powers(len(lower) + 1)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 

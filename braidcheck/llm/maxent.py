@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, shared_dir, table, written
-from .hashing import _BLANK, mix, text_bytes, word_hashes
+from .hashing import _BLANK, SLICE, hashes_of_words, mix, text_bytes, word_hashes
 
 #: Endings are hashed to so many buckets, which are clustered into so many classes.
 BUCKETS, CLASSES = 1024, 32
 #: Rows of weights that the features of a history are hashed to.
-FEATURES = 8192
+FEATURES = 8192  # below 2**16
 #: The documents are dealt to so many rounds; after each the gradient steps of all tasks are averaged.
 ROUNDS = 2
 RATE, BATCH = 0.5, 8192
@@ -38,17 +38,17 @@ _LN10 = float(np.log(10))
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, bucket) of each token of a text, the end last. Words part at ASCII white space; A-Z are lower-cased."""
     raw = text_bytes(text)
-    words = word_hashes(raw)
-    if not len(words):
-        return END, np.zeros(1, dtype=np.int64)
     data = np.frombuffer(raw, dtype=np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[data], [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint64)
+    if not len(start):
+        return END, np.zeros(1, dtype=np.int64)
+    lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    words = hashes_of_words(lower, start, end) if len(raw) <= SLICE else word_hashes(raw)
     n = end - start
     key = np.minimum(n, 5).astype(np.uint64)
     for back in (1, 2, 3):
-        key = key << np.uint64(8) | np.where(n >= back, lower[np.maximum(end - back, 0)], 0).astype(np.uint64)
+        key = key << np.uint64(8) | np.where(n >= back, lower[np.maximum(end - back, 0)], np.uint8(0)).astype(np.uint64)
     bucket = 1 + (mix(key) % np.uint64(BUCKETS - 1)).astype(np.int64)
     return np.concatenate((words, END)), np.concatenate((bucket, [0]))
 
@@ -154,14 +154,16 @@ def train(docs: DataFrame, model: Model) -> None:
             start, bias, class_of = held.value
             weights, done = start.copy(), 0
             steps = np.full(weights.shape, 1e-2, dtype=np.float32)
-            flat = np.arange(CLASSES)
             for buckets, features in _batches(pdfs):
                 p = class_probabilities(weights, bias, features)
                 p[np.arange(len(p)), class_of[buckets]] -= 1
-                slope = np.zeros(weights.size)
+                slope = np.zeros(weights.shape, dtype=np.float32)
                 for k in range(features.shape[1]):
-                    slope += np.bincount((features[:, k, None] * CLASSES + flat).ravel(), weights=p.ravel(), minlength=weights.size)
-                slope = (slope / 64).astype(np.float32).reshape(weights.shape)
+                    row = features[:, k].astype(np.uint16)
+                    order = np.argsort(row, kind="stable")
+                    first = np.concatenate(([0], np.flatnonzero(np.diff(row[order])) + 1))
+                    slope[row[order[first]]] += np.add.reduceat(p[order], first, axis=0)
+                slope /= 64
                 steps += slope * slope
                 weights -= rate * slope / np.sqrt(steps)
                 done += len(p)
