@@ -13,7 +13,19 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ASCII_BLANK = "[\\x20\\x09-\\x0D]+"
 
 
+#: Rows that go to a Python worker at once. Whole texts are long, so Spark's own 10,000 would take much memory.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
     (tests on one machine) a local temporary folder stands in for it.
     """
+    bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
