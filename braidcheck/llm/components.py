@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least of u and all its v. The least is summed up before it is shuffled; a hot u is split by the join."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _least(pairs: DataFrame, node: str, near: str) -> DataFrame:
+    """pairs with m, the least of a node and all that are near it. The least is summed up before it is shuffled; a hot node is split by the join."""
+    least = pairs.groupBy(node).agg(F.min(near).alias("m")).select(node, F.least(node, "m").alias("m"))
+    return pairs.join(least, node)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """The same for the same set of edges; two sets that differ share it by chance in 2**-90 at most."""
+    way = F.when(F.col("u") > F.col("v"), F.xxhash64("u", "v")).otherwise(F.xxhash64("v", "u"))
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(way), F.sum(F.pmod(way, F.lit(1 << 30)))).first())
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    return _least(both, "node", "near").where("near > node").select(F.col("near").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    stars = _least(down)
-    return stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    down = edges.select(F.greatest("u", "v").alias("upper"), F.least("u", "v").alias("lower"))
+    stars = _least(down, "upper", "lower")
+    return stars.select(F.col("lower").alias("u"), F.col("m").alias("v")).union(stars.select(F.col("upper").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
@@ -34,14 +40,13 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """
     spark = edges.sparkSession
     now = written(edges.select("u", "v").where("u <> v").distinct(), folder, "edges0")
-    mark, at = None, 0
+    mark, at = _mark(now), 0
     while True:
         new = written(small_star(large_star(now)), folder, f"edges{at + 1}")
-        row = new.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30))).alias("s")).first()
         discard(spark, f"{folder}/edges{at}")
+        before, mark = mark, _mark(new)
         now, at = new, at + 1
-        if (row["n"], row["x"], row["s"]) == mark:
+        if mark == before:
             break
-        mark = (row["n"], row["x"], row["s"])
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
