@@ -168,6 +168,7 @@ def rest_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
 
     Each bucket's largest component only answers: the members of the others go to every chunk
     of the bucket and are compared there with its members of other components, in blocks.
+    sketch has id, n and fine, which ends with the document's band keys: a pair comes out of the first bucket that it shares alone.
     """
     size = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1")
@@ -175,15 +176,19 @@ def rest_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
     right = rows.select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "component", "n", "fine")
     left = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "component", "n", "fine")
 
-    def compared(query, chunk):
+    def compared(key, query, chunk):
         """Pairs of a block of queries with the members of a chunk."""
         (q_id, q_n, q_of, q_bits), (c_id, c_n, c_of, c_bits) = query, chunk
+        (q_bits, q_bands), (c_bits, c_bands) = ((x[:, : FINE // 32], x[:, FINE // 32 :]) for x in (q_bits, c_bits))
+        key = np.int64(key).view(np.uint64)
         u, v = [], []
         for i in range(len(q_id)):
             x = c_bits ^ q_bits[i]
             same = FINE - np.bitwise_count((x | x >> np.uint64(1)) & _EVEN).sum(axis=1, dtype=np.int64)
             ok = (c_of != q_of[i]) & (same >= LEAST_FINE) & (100 * np.minimum(c_n, q_n[i]) >= PERCENT * np.maximum(c_n, q_n[i]))
-            found = c_id[ok]
+            on = np.flatnonzero(ok)
+            first = q_bands[i][(c_bands[on] == q_bands[i]).argmax(axis=1)]
+            found = c_id[on[first == key]]
             u += np.minimum(found, q_id[i]).tolist()
             v += np.maximum(found, q_id[i]).tolist()
         return pd.DataFrame({"u": u, "v": v}, dtype="int64").drop_duplicates()
@@ -191,7 +196,7 @@ def rest_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
     def run(batches):
         now, held = None, ([], [])
         for pdf in batches:
-            bits = np.array(pdf["fine"].tolist(), dtype=np.int64).reshape(-1, FINE // 32).view(np.uint64)
+            bits = np.array(pdf["fine"].tolist(), dtype=np.int64).reshape(-1, FINE // 32 + BANDS).view(np.uint64)
             columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "n", "component")), bits)
             key = list(zip(pdf["key"].tolist(), pdf["chunk"].tolist()))
             side, i = pdf["side"].tolist(), 0
@@ -201,12 +206,12 @@ def rest_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
                     j += 1
                 if key[i] != now:
                     if held[0] and held[1]:
-                        yield compared(*([np.concatenate(x) for x in zip(*h)] for h in held))
+                        yield compared(now[0], *([np.concatenate(x) for x in zip(*h)] for h in held))
                     now, held = key[i], ([], [])
                 held[side[i]].append(tuple(c[i:j] for c in columns))
                 i = j
         if held[0] and held[1]:
-            yield compared(*([np.concatenate(x) for x in zip(*h)] for h in held))
+            yield compared(now[0], *([np.concatenate(x) for x in zip(*h)] for h in held))
 
     return left.union(right).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side").mapInPandas(run, "u long, v long").distinct()
 
@@ -250,7 +255,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     named = written(named.join(apart, "key", "left_semi"), folder, "apart")
     fine = with_fine_bits(pool.join(named.select("id").distinct(), "id", "left_semi"))
-    fine = written(fine.join(sketch.select("id", "n"), "id"), folder, "fine")
+    keys = firsts.select("id", "bands").dropDuplicates(["id"])
+    fine = fine.join(sketch.select("id", "n"), "id").join(keys, "id").select("id", "n", F.concat("fine", "bands").alias("fine"))
+    fine = written(fine, folder, "fine")
     more = written(verified(written(rest_pairs(named, fine), folder, "rest"), pool), folder, "more")
     part = joined(part, more, f"{folder}/second")
 
