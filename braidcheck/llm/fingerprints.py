@@ -17,7 +17,7 @@ WORDS = 5
 #: One shingle hash in so many is kept.
 KEPT_OF = 4
 #: Ranges of ids that documents are dealt to when each looks for the next one, of about RANGE_ROWS rows. One row of each range is broadcast.
-LEAST_RANGES, MOST_RANGES, RANGE_ROWS = 64, 4096, 100_000
+LEAST_RANGES, MOST_RANGES, RANGE_ROWS = 64, 4096, 20_000
 
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
