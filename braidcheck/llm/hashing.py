@@ -43,10 +43,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums s with s[e] - s[b], times INVERSE**b, a hash of data[b:e]."""
+    """Sums s with s[e] - s[b], times INVERSE**b, a hash of data[b:e]; data are bytes, or 64-bit hashes."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * up[:-1], out=out[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else data) * up[:-1], out=out[1:])
     return out
 
 

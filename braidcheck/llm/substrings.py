@@ -8,11 +8,15 @@ sorted. The classes of a gram are sorted by their bytes to the right (deep-shall
 the left; the tree of common left parts then gives, for each class, every stretch that it
 shares with another. A gram with very many different classes is resolved by counting the
 hashes of blocks of strings instead, so no task ever holds such a group.
+
+The same works on words in place of bytes (WORDS): a text is then the row of its words' hashes,
+8 bytes each where bytes are sorted, and places count words.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,13 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table, written
-from .hashing import mix, powers, prefix_sums, text_bytes
+from .hashing import _BLANK, hashes_of_words, mix, powers, prefix_sums, text_bytes
 from .suffixes import deep_shallow_sort, intervals
 
 LENGTH = 400
 GRAM = 50
-WINDOW = LENGTH - GRAM + 1
-BACK = LENGTH - GRAM
 #: A gram with more classes than this is resolved by counting hashes; so many take about 20 MB to sort.
 HOT_CLASSES = 20_000
 #: Rows that a Python task hands on at once.
@@ -38,38 +40,105 @@ SLICE = 1 << 20
 _PLACE = np.uint64(SLICE * 2 - 1)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
+
+
+@dataclass(frozen=True)
+class Unit:
+    """Strings of `length` places that must not repeat, and their grams; a place is a byte of the text, or a word.
+
+    With `under`, only strings of bytes that hold fewer whole words than that, a blank on either side of each, are looked at.
+    """
+
+    length: int
+    gram: int
+    words: bool = False
+    under: int = 0
+
+    @property
+    def back(self) -> int:
+        return self.length - self.gram
+
+    @property
+    def width(self) -> int:
+        """Bytes that a place takes in the strings that are sorted."""
+        return 8 if self.words else 1
+
+    def places(self, text: str | None) -> np.ndarray:
+        raw = text_bytes(text)
+        return hashes_of(raw) if self.words else np.frombuffer(raw, dtype=np.uint8)
+
+
+BYTES = Unit(LENGTH, GRAM)
+#: Passages of over 50 words; white space between the words does not count.
+WORDS = Unit(51, 8, words=True)
+#: Strings of LENGTH bytes that WORDS cannot see, as they hold too few words.
+WORDLESS = Unit(LENGTH, GRAM, under=WORDS.length)
+
 OCCURRENCES = "kind byte, gram long, class long, doc_id long, pos long, l int, r int, n long"
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Places of the anchors of all strings of LENGTH bytes in data."""
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of data, and the bytes after them. Words part at ASCII white space."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[data], [True])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def hashes_of(raw: bytes) -> np.ndarray:
+    """A hash of each word as it is written; about SLICE bytes are hashed at once."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    start, end = word_places(data)
+    out = np.empty(len(start), dtype=np.uint64)
+    cuts = np.flatnonzero(np.diff(start // SLICE, prepend=-1)).tolist() + [len(start)]
+    for a, b in zip(cuts, cuts[1:]):
+        at = start[a]
+        out[a:b] = hashes_of_words(data[at : end[b - 1]], start[a:b] - at, end[a:b] - at)
+    return out
+
+
+def few_words(data: np.ndarray, unit: Unit) -> np.ndarray:
+    """Which strings of unit.length bytes hold fewer than unit.under words with a blank of the string on either side."""
+    start, end = word_places(data)
+    begun, ended = np.cumsum(np.bincount(start, minlength=len(data))), np.cumsum(np.bincount(end, minlength=len(data) + 1))
+    return ended[unit.length - 1 : len(data)] - begun[: len(data) - unit.length + 1] < unit.under
+
+
+def anchors(data: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
+    """Places of the anchors of all strings of unit.length places in data."""
     n, out = len(data), []
-    for at in range(0, n - LENGTH + 1, SLICE):
-        some = data[at : min(n, at + SLICE + LENGTH - 1)]
+    window = unit.back + 1
+    few = few_words(data, unit) if unit.under and n >= unit.length else None
+    for at in range(0, n - unit.length + 1, SLICE):
+        some = data[at : min(n, at + SLICE + unit.length - 1)]
+        here = None if few is None else few[at : at + len(some) - unit.length + 1]
+        if here is not None and not here.any():
+            continue
         sums = prefix_sums(some)
         _, down = powers(len(some) + 1)
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(some) - GRAM + 1])
+        grams = mix((sums[unit.gram :] - sums[: -unit.gram]) * down[: len(some) - unit.gram + 1])
         key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        wide = np.full(-(-len(key) // WINDOW) * WINDOW, np.iinfo(np.uint64).max, dtype=np.uint64)
+        wide = np.full(-(-len(key) // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
         wide[: len(key)] = key
-        blocks = wide.reshape(-1, WINDOW)
+        blocks = wide.reshape(-1, window)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        last = len(key) - WINDOW + 1
-        least = np.minimum(back[:last], ahead[WINDOW - 1 : WINDOW - 1 + last]) & _PLACE
+        last = len(key) - window + 1
+        least = np.minimum(back[:last], ahead[window - 1 : window - 1 + last]) & _PLACE
+        if here is not None:
+            least = least[here]
         step = np.flatnonzero(np.diff(least.astype(np.int64), prepend=-1))
         out.append(np.unique(least[step]).astype(np.int64) + at)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
 
 
 def hashes_between(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[begin:end]; data is taken in slices, and no stretch is longer than 2 * LENGTH."""
+    """Hashes of data[begin:end]; data is taken in slices that hold the longest stretch."""
     out = np.empty(len(begin), dtype=np.uint64)
+    reach = int((end - begin).max(initial=0))
     cell = begin // SLICE
     for c in np.unique(cell).tolist():
         of = np.flatnonzero(cell == c)
         at = c * SLICE
-        some = data[at : at + SLICE + 2 * LENGTH]
+        some = data[at : at + SLICE + reach]
         sums = prefix_sums(some)
         _, down = powers(len(some) + 1)
         b, e = begin[of] - at, end[of] - at
@@ -77,21 +146,21 @@ def hashes_between(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Kind 0: anchors with their gram, class, and bytes to the left and right that count.
+def occurrences(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """Kind 0: anchors with their gram, class, and places to the left and right that count.
 
     Anchors of one document with equal surroundings (text that repeats itself at a short
-    period) are one row with their number n; the bytes they cover are rows of kind 1, from pos
-    to l bytes on, whatever the number of anchors.
+    period) are one row with their number n; the places they cover are rows of kind 1, from pos
+    to l places on, whatever the number of anchors.
     """
 
     def one(doc_id, text, rows):
-        data = np.frombuffer(text_bytes(text), dtype=np.uint8)
-        at = anchors(data)
+        data = unit.places(text)
+        at = anchors(data, unit)
         if not len(at):
             return
-        l, r = np.minimum(BACK, at), np.minimum(LENGTH, len(data) - at)
-        gram = hashes_between(data, at, at + GRAM)
+        l, r = np.minimum(unit.back, at), np.minimum(unit.length, len(data) - at)
+        gram = hashes_between(data, at, at + unit.gram)
         whole = mix(hashes_between(data, at - l, at + r) + l.astype(np.uint64) * _SALT)
         _, first, n = np.unique(np.stack([gram, whole]), axis=1, return_index=True, return_counts=True) if len(at) > 1 else (None, np.array([0]), np.array([1]))
         if (n > 1).any():
@@ -129,8 +198,8 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), far[np.concatenate((new[1:] - 1, [len(far) - 1]))].tolist()))
 
 
-def shared_stretches(lefts: list[bytes], rights: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each class, (bytes left, bytes right) of maximal stretches of at least LENGTH bytes that it shares with another.
+def shared_stretches(lefts: list[bytes], rights: list[bytes], unit: Unit = BYTES) -> list[list[tuple[int, int]]]:
+    """For each class, (places left, places right) of maximal stretches of at least unit.length places that it shares with another.
 
     lefts are the bytes before the anchor, last first; rights begin with the anchor.
     """
@@ -141,18 +210,18 @@ def shared_stretches(lefts: list[bytes], rights: list[bytes]) -> list[list[tuple
     for k, i in enumerate(order):
         rank[i] = k
     by_left, left_lcp = deep_shallow_sort(lefts)
-    near = np.array(lcp, dtype=np.int64)
-    for depth, a, b in intervals(left_lcp):
+    near = np.array(lcp, dtype=np.int64) // unit.width
+    for depth, a, b in intervals([x // unit.width for x in left_lcp]):
         places = np.sort(np.array([rank[i] for i in by_left[a : b + 1]]))
         between = np.minimum.reduceat(near[: places[-1] + 1], places[:-1] + 1)
         best = np.maximum(np.concatenate(([0], between)), np.concatenate((between, [0])))
-        for k in np.flatnonzero(best + depth >= LENGTH).tolist():
+        for k in np.flatnonzero(best + depth >= unit.length).tolist():
             out[order[places[k]]].append((depth, int(best[k])))
     return out
 
 
-def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (gram, class, doc_id, pos, l, r, ...) with the bytes around pos, read from the documents."""
+def _surroundings(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
+    """wanted (gram, class, doc_id, pos, l, r, ...) with the bytes of the places around pos, read from the documents."""
     rest = [c for c in wanted.columns if c != "doc_id"]
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("asked"))
     kinds = dict(wanted.dtypes)
@@ -162,10 +231,10 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for text, some in zip(pdf["text"].tolist(), pdf["asked"].tolist()):
-                raw = text_bytes(text)
+                data = unit.places(text)
                 for x in some:
                     p = x["pos"]
-                    rows.append((*[x[c] for c in rest], raw[p - x["l"] : p][::-1], raw[p : p + x["r"]]))
+                    rows.append((*[x[c] for c in rest], data[p - x["l"] : p][::-1].tobytes(), data[p : p + x["r"]].tobytes()))
                 if len(rows) >= ROWS_AT_ONCE:
                     yield pd.DataFrame(rows, columns=[*rest, "before", "after"])
                     rows = []
@@ -174,13 +243,13 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(asked, "doc_id").select("text", "asked").mapInPandas(run, schema)
 
 
-def _sorted_groups(around: DataFrame) -> DataFrame:
+def _sorted_groups(around: DataFrame, unit: Unit) -> DataFrame:
     """Stretches of each class of the grams with a bounded number of classes."""
 
     def of(held):
         unique = {x[1]: x for x in held}  # a repeated row of documents brings its classes again
         items = list(unique.values())
-        found = shared_stretches([x[2] for x in items], [x[3] for x in items])
+        found = shared_stretches([x[2] for x in items], [x[3] for x in items], unit)
         return [(x[0], x[1], depth, right) for x, some in zip(items, found) for depth, right in some]
 
     def run(batches):
@@ -199,7 +268,7 @@ def _sorted_groups(around: DataFrame) -> DataFrame:
     return around.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, "gram long, class long, back int, ahead int")
 
 
-def _counted_groups(around: DataFrame, folder: str) -> DataFrame:
+def _counted_groups(around: DataFrame, folder: str, unit: Unit) -> DataFrame:
     """The same for grams with very many classes, by counts of hashes.
 
     A block of starts lo..hi before the anchor stands for its strings: if the bytes that all of them
@@ -216,30 +285,32 @@ def _counted_groups(around: DataFrame, folder: str) -> DataFrame:
             for pdf in batches:
                 rows = []
                 for gram, cls, n, before, after, lo0, hi0 in zip(*(pdf[c].tolist() for c in ("gram", "class", "n", "before", "after", "lo", "hi"))):
-                    data = np.frombuffer(before[::-1] + after, dtype=np.uint8)
-                    l, r = len(before), len(after)
-                    first, last = max(0, LENGTH - r), min(BACK, l)
+                    kind = np.uint64 if unit.words else np.uint8
+                    data = np.concatenate((np.frombuffer(before, dtype=kind)[::-1], np.frombuffer(after, dtype=kind)))
+                    l = len(before) // unit.width
+                    r = len(data) - l
+                    first, last = max(0, unit.length - r), min(unit.back, l)
                     lo = np.arange(lo0, min(hi0, last) + 1, size)
-                    hi = np.minimum(lo + size - 1, BACK)
+                    hi = np.minimum(lo + size - 1, unit.back)
                     fits = hi >= first
                     lo, hi = lo[fits], hi[fits]
                     if not len(lo):
                         continue
-                    core = hashes_between(data, l - lo, l - hi + LENGTH)
-                    whole = (hi <= l) & (LENGTH - lo <= r)
+                    core = hashes_between(data, l - lo, l - hi + unit.length)
+                    whole = (hi <= l) & (unit.length - lo <= r)
                     full = np.zeros(len(lo), dtype=np.uint64)
-                    full[whole] = hashes_between(data, l - hi[whole], l - lo[whole] + LENGTH)
+                    full[whole] = hashes_between(data, l - hi[whole], l - lo[whole] + unit.length)
                     for a, b, c, w, f in zip(lo.tolist(), hi.tolist(), core.view(np.int64).tolist(), whole.tolist(), full.view(np.int64).tolist()):
                         rows.append((gram, cls, n, a, b, c, f, w))
                 yield pd.DataFrame(rows, columns=["gram", "class", "n", "lo", "hi", "core", "full", "whole"])
 
-        source = held.withColumns({"lo": F.lit(0), "hi": F.lit(BACK)}) if blocks is None else held.join(blocks, ["gram", "class"])
+        source = held.withColumns({"lo": F.lit(0), "hi": F.lit(unit.back)}) if blocks is None else held.join(blocks, ["gram", "class"])
         rows = written(source.mapInPandas(run, "gram long, class long, n long, lo int, hi int, core long, full long, whole boolean"), folder, f"blocks{level}")
         cores = rows.groupBy("gram", "lo", "core").agg(F.sum("n").alias("cores")).where("cores > 1")
         fulls = rows.where("whole").groupBy("gram", "lo", "full").agg(F.sum("n").alias("fulls")).where("fulls > 1")
         judged = rows.join(cores, ["gram", "lo", "core"]).join(fulls, ["gram", "lo", "full"], "left")
         judged = written(judged.select("gram", "class", "lo", "hi", "core", "full", (F.col("whole") & F.col("fulls").isNotNull()).alias("sure")), folder, f"judged{level}")
-        new = judged.where("sure").select("gram", "class", F.col("hi").alias("back"), (LENGTH - F.col("lo")).cast("int").alias("ahead"))
+        new = judged.where("sure").select("gram", "class", F.col("hi").alias("back"), (unit.length - F.col("lo")).cast("int").alias("ahead"))
         found = new if found is None else found.union(new)
         open_ = judged.where("not sure")
         # What is settled is still compared with what is not: one class of those that are equal all over the block.
@@ -249,9 +320,9 @@ def _counted_groups(around: DataFrame, folder: str) -> DataFrame:
     return found
 
 
-def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, spans): merged stretches of bytes that belong to a repeated string of LENGTH bytes."""
-    seen = written(occurrences(docs), folder, "anchors")
+def repeated_spans(docs: DataFrame, folder: str, unit: Unit = BYTES) -> DataFrame:
+    """(doc_id, spans): stretches of places that belong to a repeated string of unit.length places."""
+    seen = written(occurrences(docs, unit), folder, "anchors")
     # Grams that occur once are most of all and go first; their count is summed up before it is shuffled.
     again = seen.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
     real = written(seen.where("kind = 0").drop("kind").join(again, "gram", "left_semi"), folder, "repeated")
@@ -261,9 +332,9 @@ def repeated_spans(docs: DataFrame, folder: str) -> DataFrame:
     classes = written(classes.join(grams, "gram"), folder, "classes")
 
     asked = classes.where("classes > 1 and rarest = 1").select("gram", "class", "n", "doc_id", "pos", "l", "r", (F.col("classes") > HOT_CLASSES).alias("hot"))
-    around = written(_surroundings(docs, asked), folder, "around")
-    found = _sorted_groups(around.where("not hot")).union(_counted_groups(around.where("hot"), folder))
-    alike = classes.where(f"n > 1 and l + r >= {LENGTH}").select("gram", "class", F.col("l").alias("back"), F.col("r").alias("ahead"))
+    around = written(_surroundings(docs, asked, unit), folder, "around")
+    found = _sorted_groups(around.where("not hot"), unit).union(_counted_groups(around.where("hot"), folder, unit))
+    alike = classes.where(f"n > 1 and l + r >= {unit.length}").select("gram", "class", F.col("l").alias("back"), F.col("r").alias("ahead"))
     stretches = found.union(alike).groupBy("gram", "class").agg(F.collect_set(F.struct("back", "ahead")).alias("stretches"))
 
     spans = real.join(stretches, ["gram", "class"]).select("doc_id", "pos", F.explode("stretches").alias("x")).select("doc_id", (F.col("pos") - F.col("x.back")).alias("b"), (F.col("pos") + F.col("x.ahead")).alias("e"))
@@ -283,15 +354,25 @@ def cut(raw: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join([*kept, raw[at:]]), sum(e - b for b, e in runs), len(runs)
 
 
-def without_repeats(docs: DataFrame, folder: str) -> DataFrame:
-    """docs (doc_id, text, and any others that come along) joined with the spans to remove.
+def byte_spans(raw: bytes, spans) -> list[dict]:
+    """Spans of words of raw as spans of bytes, from the first word's first byte to the last word's last."""
+    if spans is None or not len(spans):
+        return []
+    start, end = word_places(np.frombuffer(raw, dtype=np.uint8))
+    return [{"b": int(start[x["b"]]), "e": int(end[x["e"] - 1])} for x in spans]
+
+
+def without_repeats(docs: DataFrame, folder: str, units: dict[str, Unit] | None = None) -> DataFrame:
+    """docs (doc_id, text, and any others that come along) joined with the spans to remove, a column for each of units (spans, of bytes).
 
     Rows that share a doc_id must share their text; they count as repeats of each other and come
-    back as often. Null texts count as empty; texts under LENGTH bytes hold nothing to remove.
+    back as often. Null texts count as empty; texts under a unit's length hold nothing to remove.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = written(repeated_spans(texts, folder), folder, "spans")
-    return docs.join(spans, "doc_id", "left")
+    for name, unit in ({"spans": BYTES} if units is None else units).items():
+        spans = written(repeated_spans(texts, f"{folder}/{name}", unit), folder, f"{name}-found")
+        docs = docs.join(spans.withColumnRenamed("spans", name), "doc_id", "left")
+    return docs
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,9 @@ def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings of 400 that occur again anywhere; parts of a character that a cut leaves go too.
+    """Documents without the passages of over 50 words that occur again anywhere, and without strings of 400 bytes that do and hold too few words to be such; parts of a character that a cut leaves go too.
+
+    Words part at ASCII white space, which may differ between occurrences.
 
     A document of which only white space is left goes; one that had nothing else before stays.
     """
@@ -46,17 +48,18 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     def run(batches):
         for pdf in batches:
             texts, keep = [], []
-            for text, spans in zip(pdf["text"].tolist(), pdf["spans"].tolist()):
-                raw, removed, _ = substrings.cut(substrings.text_bytes(text), spans)
+            for text, spans, words in zip(pdf["text"].tolist(), pdf["spans"].tolist(), pdf["words"].tolist()):
+                raw = substrings.text_bytes(text)
+                raw, removed, _ = substrings.cut(raw, [*(() if spans is None else spans), *substrings.byte_spans(raw, words)])
                 new = raw.decode("utf-8", "ignore") if removed else text
                 texts.append(new)
                 keep.append(not removed or bool(new.strip()))
-            out = pdf.drop(columns=["spans"]).assign(text=texts)
+            out = pdf.drop(columns=["spans", "words"]).assign(text=texts)
             sizes = pd.array([None if t is None else len(t) for t in texts], dtype="Int64")
             yield out.assign(n_chars=sizes)[pd.Series(keep, index=out.index, dtype=bool)]
 
-    found = substrings.without_repeats(docs, common.shared_dir(spark))
-    return found.select(*docs.columns, "spans").mapInPandas(run, DOCUMENTS)
+    found = substrings.without_repeats(docs, common.shared_dir(spark), {"words": substrings.WORDS, "spans": substrings.WORDLESS})
+    return found.select(*docs.columns, "spans", "words").mapInPandas(run, DOCUMENTS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,3 +349,42 @@ def test_pipeline_stages(spark, documents, tmp_path):
             left = components({i: sets_of(t) for i, t in kept.items()})
             assert all(i == c for i, c in left.items())
     assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, now, path).collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    """Passages of 51 words under 400 bytes, in several groups, and long strings without blanks; those of 50 words stay."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(3)
+    unique = iter(range(10**6))
+    fresh = lambda n: " ".join(f"u{next(unique)}" for _ in range(n))
+    passage = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5))) for _ in range(n))
+    long, short, tight = [passage(n) for n in (51, 64, 51)], passage(50), "".join(r.choice("abcdefgh") for _ in range(500))
+    assert all(len(x) < 400 for x in long)
+    docs, want = [], {}
+    for i in range(12):
+        for k, held in enumerate([*long, short, tight]):
+            a, b = fresh(r.randint(0, 70)), fresh(r.randint(1, 70))
+            docs.append((i * 10 + k, f"{a} {held.replace(' ', chr(10)) if i % 2 else held} {b}", "en", "s", 0))
+            want[i * 10 + k] = f"{a} {held.replace(' ', chr(10)) if i % 2 else held} {b}" if held is short else f"{a}  {b}"
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in pipeline.cut_repeated_passages(spark, d, "").collect()}
+    # The bytes next to a string without blanks go too where occurrences share them.
+    assert {i: t.split() for i, t in got.items() if i % 10 < 4} == {i: t.split() for i, t in want.items() if i % 10 < 4}
+    assert len(got) == len(docs) and not any(tight[:9] in t for t in got.values())
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeated_word_runs(spark, documents, monkeypatch, hot):
+    path, docs = documents
+    monkeypatch.setattr(substrings, "HOT_CLASSES", hot)
+    count = Counter()
+    words = {i: (t or "").encode().split() for i, t in docs.items()}
+    for w in words.values():
+        count.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+    want = {}
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            if count[tuple(w[k : k + 51])] > 1:
+                want.setdefault(i, set()).update(range(k, k + 51))
+    rows = substrings.repeated_spans(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), shared_dir(spark), substrings.WORDS).collect()
+    assert {r["doc_id"]: {p for x in r["spans"] for p in range(x["b"], x["e"])} for r in rows} == want
