@@ -20,6 +20,9 @@ CENTROIDS = 4
 SAMPLE, SAMPLE_ALL = 600, 9_600
 #: The share of a length's sample below whose similarity a text is rejected, and the slack below that.
 REJECT_SHARE, REJECT_SLACK = 0.002, 0.1
+#: Texts that tell the radius of a length; where the sample has fewer, beginnings of so many longer ones help, in equal parts of the languages.
+ENOUGH, BEGINNINGS = 100, 400
+BINS = 16
 UNDETERMINED = "und"
 ROUNDS = 12
 
@@ -54,7 +57,34 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def length_bin(letters: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), 15)
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), BINS - 1)
+
+
+def beginnings(text: str, letters: int) -> list[str]:
+    """The beginnings of a text that have 1, 2, 4 ... letters, of all length bins below its own."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    place = np.flatnonzero(letter_table()[code])
+    return [text[: place[(1 << b) - 1] + 1] for b in range(int(length_bin(np.array([letters]))[0])) if (1 << b) <= len(place)]
+
+
+def radii(bins: np.ndarray, own: np.ndarray, begun_bins: np.ndarray, begun_own: np.ndarray) -> np.ndarray:
+    """The least cosine of each length bin, from those of whole texts (own) and, where a bin has fewer than ENOUGH, of beginnings of longer texts.
+
+    A bin that still has fewer takes the nearest ones below, and then above, until it has ENOUGH or all there are.
+    """
+    out = np.zeros(BINS)
+    held = [own[bins == b] for b in range(BINS)]
+    held = [x if len(x) >= ENOUGH else np.concatenate((x, begun_own[begun_bins == b])) for b, x in enumerate(held)]
+    for b in range(BINS):
+        some = held[b]
+        for other in [*range(b - 1, -1, -1), *range(b + 1, BINS)]:
+            if len(some) >= ENOUGH:
+                break
+            some = np.concatenate((some, held[other]))
+        if len(some):
+            least = float(np.quantile(some, REJECT_SHARE))
+            out[b] = max(least - REJECT_SLACK, least / 2)
+    return out
 
 
 @dataclass
@@ -127,7 +157,7 @@ def fit(labelled: DataFrame) -> Model:
 
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
-    empty = Model([], idf, np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0, dtype=np.int64), np.zeros(16))
+    empty = Model([], idf, np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0, dtype=np.int64), np.zeros(BINS))
     if not languages:
         return empty
     each = max(1, min(SAMPLE, SAMPLE_ALL // len(languages)))
@@ -140,10 +170,19 @@ def fit(labelled: DataFrame) -> Model:
 
     def counted(batches):
         for pdf in batches:
-            rows = [(lang, *[x.tolist() for x in c[:2]], c[2]) for lang, c in zip(pdf["lang"].tolist(), map(gram_counts, pdf["text"].tolist())) if c[2]]
-            yield pd.DataFrame(rows, columns=["lang", "places", "counts", "letters"])
-
-    sample = sorted(drawn.select("lang", "text").mapInPandas(counted, "lang string, places array<int>, counts array<int>, letters int").collect())
+            rows = []
+            for lang, text, k in zip(pdf["lang"].tolist(), pdf["text"].tolist(), pdf["k"].tolist()):
+                c = gram_counts(text)
+                if c[2]:
+                    rows.append((lang, c[0].tolist(), c[1].tolist(), c[2], False))
+                    for some in beginnings(text, c[2]) if k <= begun else []:
+                        places, counts, n = gram_counts(some)
+                        rows.append((lang, places.tolist(), counts.tolist(), n, True))
+            yield pd.DataFrame(rows, columns=["lang", "places", "counts", "letters", "begun"])
+
+    begun = -(-BEGINNINGS // len(languages))
+    sample = sorted(drawn.select("lang", "text", "k").mapInPandas(counted, "lang string, places array<int>, counts array<int>, letters int, begun boolean").collect())
+    sample, parts = [r for r in sample if not r["begun"]], [r for r in sample if r["begun"]]
     model = empty
     model.languages = languages = sorted({r["lang"] for r in sample})
     if not languages:
@@ -153,12 +192,15 @@ def fit(labelled: DataFrame) -> Model:
     found = [_spherical_means(vectors[of == i], CENTROIDS) for i in range(len(languages))]
     model.centroids = np.concatenate(found).astype(np.float32)
     model.owner = np.concatenate([np.full(len(x), i) for i, x in enumerate(found)])
-    own = np.stack([(vectors @ x.T).max(axis=1) for x in found], axis=1)[np.arange(len(of)), of]
-    bins = length_bin(np.array([r["letters"] for r in sample]))
-    for b in range(16):
-        # Bins with few texts take the ones below as well; longer texts are held to no less than shorter ones.
-        some = own[bins == b]
-        model.radius[b] = max(0.0, float(np.quantile(some, REJECT_SHARE)) - REJECT_SLACK) if len(some) >= 100 else (model.radius[b - 1] if b else 0.0)
+
+    def nearest(rows, vectors):
+        """Length bins of rows, and the cosine of each to the nearest centroid of its language."""
+        of = np.array([languages.index(r["lang"]) for r in rows], dtype=np.int64)
+        cosines = np.stack([(vectors @ x.T).max(axis=1) for x in found], axis=1)[np.arange(len(of)), of]
+        return length_bin(np.array([r["letters"] for r in rows], dtype=np.int64)), cosines
+
+    begun_vectors = model.vectors([(np.array(r["places"], dtype=np.int64), np.array(r["counts"]), r["letters"]) for r in parts])
+    model.radius = radii(*nearest(sample, vectors), *nearest(parts, begun_vectors))
     return model
 
 

@@ -388,3 +388,18 @@ def test_repeated_word_runs(spark, documents, monkeypatch, hot):
                 want.setdefault(i, set()).update(range(k, k + 51))
     rows = substrings.repeated_spans(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), shared_dir(spark), substrings.WORDS).collect()
     assert {r["doc_id"]: {p for x in r["spans"] for p in range(x["b"], x["e"])} for r in rows} == want
+
+
+def test_far_texts_of_each_length_are_rejected(spark):
+    """Where all labelled texts are long, too; and near texts of each length are not."""
+    r = random.Random(6)
+    vocabulary = [["the", "and", "with", "house", "water", "which", "other", "never"], ["le", "être", "maison", "eau", "quelque", "nous", "jamais", "autre"]]
+    prose = lambda i, n: " ".join(r.choice(vocabulary[i % 2]) for _ in range(n))
+    rows = [(i, prose(i, 300), ["en", "fr"][i % 2]) for i in range(160)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert (model.radius > 0).all()
+    for n in (10, 40, 100, 250, 2000):
+        for alphabet in ("qxzjkvwyjq", "бгджзйклмн"):
+            far = [" ".join("".join(r.choice(alphabet) for _ in range(r.randint(3, 8))) for _ in range(n)) for _ in range(10)]
+            assert all(x[2] for x in model.predict(far)), n
+        assert not any(x[2] for x in model.predict([prose(i, n) for i in range(20)])), n
