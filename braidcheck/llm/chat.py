@@ -102,21 +102,49 @@ def with_running(messages: DataFrame, value: Column, name: str) -> DataFrame:
     return dealt.withColumn("_own", F.max("_value").over(here)).join(ends, ["conv_id", "_block"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_block", "_value", "_own", "_carried")
 
 
+def message_levels(rows: DataFrame, folder: str) -> DataFrame:
+    """(call_id, role, level) of the calls and results in rows (call_id, role, depends_on), by the longest way in their dependency graph.
+
+    A result comes after its call, and a call after the results of the calls that its depends_on names.
+    Results of one call depend on the same and are one node, so a call with very many costs no more.
+    """
+    linked = rows.where("call_id is not null")
+    node = lambda role, call_id: F.concat_ws(":", role, call_id)
+    nodes = linked.select(node(F.col("role"), F.col("call_id")).alias("id")).distinct()
+    asked = linked.where("role = 'user'")
+    user, assistant = F.lit("user"), F.lit("assistant")
+    edges = asked.select(node(user, F.col("call_id")).alias("before"), node(assistant, F.col("call_id")).alias("after"))
+    needs = asked.select("call_id", F.explode("depends_on").alias("needed")).where("needed is not null")
+    edges = edges.union(needs.select(node(assistant, F.col("needed")), node(user, F.col("call_id"))))
+    parts = F.split("id", ":", 2)
+    return topological_levels(nodes, edges, folder).select(parts[1].alias("call_id"), parts[0].alias("role"), "level")
+
+
 def chat_records(conversations: DataFrame) -> DataFrame:
     """One row per message of conversations (conv_id, turn, role, text), in canonical JSON, with calls and results linked.
 
     A user's message is a call of `reply`; the messages of the assistant after it are its results, of
     which the first answers it. Columns: conv_id, turn, role, call_id, link_turn (of a call its
-    answer's turn, of a result its call's), level (0; 1 for results), valid (false if the
+    answer's turn, of a result its call's), level (of the dependency graph; null on and after a cycle), valid (false if the
     arguments of a call do not fit, or a result answers nothing), json. Order a conversation by
     turn and level. Null texts and roles are JSON nulls; a call with a null text is not valid. A repeated
     row comes back as often. Rows without conv_id or turn link with nothing.
+
+    A column depends_on (array of call_ids), if there is one, names the calls whose results a user's message needs;
+    without it no call depends on another's result. A result that has no call comes after one that is not there,
+    at level 1; messages that are neither are at level 0.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    folder = shared_dir(conversations.sparkSession)
+    needs = F.col("depends_on") if "depends_on" in conversations.columns else F.lit(None)
+    rows = conversations.select(needs.cast("array<string>").alias("depends_on"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     whole = rows.where("conv_id is not null and turn is not null")
     asked = with_running(whole, F.when(F.col("role") == "user", F.col("turn")), "asked")
     call_id = F.when(F.col("role").isin("user", "assistant") & F.col("asked").isNotNull(), F.concat_ws("-", "conv_id", "asked"))
     rows = asked.withColumn("call_id", call_id).drop("asked").unionByName(rows.where("conv_id is null or turn is null").withColumn("call_id", F.lit(None).cast("string")))
+    rows = written(rows, folder, "rows")
+    levels = message_levels(rows, folder).withColumnRenamed("level", "found")
+    alone = F.when(F.col("role") == "assistant", 1).otherwise(0)
+    rows = rows.drop("depends_on").join(levels, ["call_id", "role"], "left").withColumn("level", F.when(F.col("call_id").isNull(), alone).otherwise(F.col("found"))).drop("found")
 
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
     calls = rows.where("role = 'user'").withColumn("arguments", canonical(arguments))
@@ -126,15 +154,15 @@ def chat_records(conversations: DataFrame) -> DataFrame:
     keep = {"ignoreNullFields": "false"}
 
     calls = calls.withColumn("faults", argument_faults(F.lit("reply"), F.col("arguments"))).select(
-        "conv_id", "turn", "role", "call_id", F.col("result_turn").alias("link_turn"), F.lit(0).alias("level"), (F.size("faults") == 0).alias("valid"),
+        "conv_id", "turn", "role", "call_id", F.col("result_turn").alias("link_turn"), "level", (F.size("faults") == 0).alias("valid"),
         F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), F.coalesce(F.concat(F.lit('"'), "call_id", F.lit('"')), F.lit("null")), F.lit(',"name":"reply","role":"user"}')).alias("json"),
     )
     results = results.select(
-        "conv_id", "turn", "role", "call_id", F.col("call_turn").alias("link_turn"), F.lit(1).alias("level"), F.col("answers").alias("valid"),
+        "conv_id", "turn", "role", "call_id", F.col("call_turn").alias("link_turn"), "level", F.col("answers").alias("valid"),
         F.to_json(F.struct(F.col("text").alias("content"), F.col("call_id").alias("id"), F.col("role").alias("role")), keep).alias("json"),
     )
     others = others.select(
-        "conv_id", "turn", "role", "call_id", F.lit(None).cast("long").alias("link_turn"), F.lit(0).alias("level"), F.lit(True).alias("valid"),
+        "conv_id", "turn", "role", "call_id", F.lit(None).cast("long").alias("link_turn"), "level", F.lit(True).alias("valid"),
         F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), keep).alias("json"),
     )
     return calls.unionByName(results).unionByName(others)

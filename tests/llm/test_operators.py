@@ -403,3 +403,13 @@ def test_far_texts_of_each_length_are_rejected(spark):
             far = [" ".join("".join(r.choice(alphabet) for _ in range(r.randint(3, 8))) for _ in range(n)) for _ in range(10)]
             assert all(x[2] for x in model.predict(far)), n
         assert not any(x[2] for x in model.predict([prose(i, n) for i in range(20)])), n
+
+
+def test_chat_levels(spark):
+    """Levels follow from the dependency graph: a call after another's result, and calls that wait for each other."""
+    rows = [(1, 0, "user", "a", None), (1, 1, "assistant", "b", None), (1, 2, "user", "c", ["1-0"]), (1, 3, "assistant", "d", None), (1, 4, "assistant", "e", None), (1, 5, "user", "f", ["1-2", "1-0", None])]
+    rows += [(2, 0, "user", "a", ["2-2"]), (2, 1, "assistant", "b", None), (2, 2, "user", "c", ["2-0"]), (2, 3, "assistant", "d", None), (2, 4, "user", "e", ["2-2"]), (2, 5, "user", "f", ["9-9"])]
+    rows += [(3, 0, "assistant", "early", None), (3, 1, "system", "s", None), (None, 0, "user", "x", None)]
+    got = chat.chat_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depends_on array<string>")).collect()
+    want = {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): 3, (1, 5): 4, (2, 0): None, (2, 1): None, (2, 2): None, (2, 3): None, (2, 4): None, (2, 5): 0, (3, 0): 1, (3, 1): 0, (None, 0): 0}
+    assert len(got) == len(rows) and {(r["conv_id"], r["turn"]): r["level"] for r in got} == want
