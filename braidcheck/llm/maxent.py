@@ -1,9 +1,10 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class of the word | history) * P(word | class). The first factor is a
+P(word | history) = P(class of the word | history) * P(word | class, history). The first factor is a
 softmax over CLASSES classes whose logits are sums of weight rows, found by hashing n-grams and
-skips of the history; the second is the word's share of its class, with the mass of
-unseen words set aside in each class. A word's class follows from its ending and length, so words never
+skips of the history. The second is a softmax over the SLOTS slots of the class, by the same features hashed
+with the class and trained in the same steps, times the word's share of its slot: the commonest words of a class have a
+slot each, all others share SHARED slots. The mass of unseen words is set aside in each class. A word's class follows from its ending and length, so words never
 seen have one too, and the probabilities of all seen words and of one unseen word per class add up to 1.
 """
 
@@ -21,8 +22,12 @@ from .hashing import _BLANK, SLICE, hashes_of_words, mix, text_bytes, word_hashe
 
 #: Endings are hashed to so many buckets, which are clustered into so many classes.
 BUCKETS, CLASSES = 1024, 32
-#: Rows of weights that the features of a history are hashed to.
-FEATURES = 8192  # below 2**16
+#: Slots of a class, and how many of them words share; the others hold a word each.
+SLOTS, SHARED = 64, 16
+#: Rows of weights that the features of a history are hashed to: at least and at most; between, a row for so many tokens of a task, so that tables take no more room than texts.
+FEATURES, MOST_FEATURES, TOKENS_A_ROW = 8192, 1 << 17, 128
+#: Tasks of a round; each hands on a whole table.
+TASKS = 256
 #: The documents are dealt to so many rounds; after each the gradient steps of all tasks are averaged.
 ROUNDS = 2
 RATE, BATCH = 0.5, 8192
@@ -53,7 +58,7 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((words, END)), np.concatenate((bucket, [0]))
 
 
-def history_features(words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+def history_features(words: np.ndarray, buckets: np.ndarray, rows: int = FEATURES) -> np.ndarray:
     """(tokens, 4) rows of weights: the word before; the two buckets before; the word before that (a skip); the third bucket before with the first (a skip)."""
     def before(x, k):
         return np.concatenate((np.full(min(k, len(x)), 7, dtype=np.uint64), x[: max(0, len(x) - k)].astype(np.uint64)))
@@ -61,7 +66,7 @@ def history_features(words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     w1, w2 = before(words, 1), before(words, 2)
     b1, b2, b3 = (before(buckets, k) for k in (1, 2, 3))
     keys = np.stack([w1, (b1 * np.uint64(BUCKETS) + b2) ^ np.uint64(1 << 40), w2 ^ np.uint64(1 << 62), (b1 * np.uint64(BUCKETS) + b3) ^ np.uint64(1 << 41)], axis=1)
-    return (mix(keys) % np.uint64(FEATURES)).astype(np.int64)
+    return (mix(keys) % np.uint64(rows)).astype(np.int64)
 
 
 def class_probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -72,9 +77,15 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndar
     return logits
 
 
+def inner_features(features: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of the weights of slots: the features of a history together with the class of the word."""
+    return (mix((features * CLASSES + of[:, None]).astype(np.uint64)) % np.uint64(rows)).astype(np.int64)
+
+
 @dataclass
 class Model:
-    weights: np.ndarray
+    #: (rows, CLASSES + SLOTS): weights of classes by feature, and of slots by feature and class.
+    table: np.ndarray
     bias: np.ndarray
     class_of: np.ndarray
     #: log10 of what a seen word's count is multiplied by, and of an unseen word's mass, in each class.
@@ -84,15 +95,40 @@ class Model:
     distinct: int
     head: np.ndarray
     head_counts: np.ndarray
-
-
-def _batches(pdf_iter):
-    """Tokens of about BATCH * 8 words at a time: (words, buckets, features)."""
+    #: Words with a slot of their own, in order, and their slots; the share of each slot in its class.
+    own: np.ndarray
+    own_slot: np.ndarray
+    share: np.ndarray
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.table[:, :CLASSES]
+
+    @property
+    def inner_weights(self) -> np.ndarray:
+        return self.table[:, CLASSES:]
+
+    @property
+    def inner_bias(self) -> np.ndarray:
+        """Logarithms of the shares; empty slots get nothing."""
+        return np.where(self.share > 0, np.log(np.maximum(self.share, 1e-30)), -1e9).astype(np.float32)
+
+    def slots(self, words: np.ndarray) -> np.ndarray:
+        """The slot of each word (a signed hash) in its class."""
+        shared = words & (SHARED - 1)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+        return np.where(self.own[at] == words, self.own_slot[at], shared)
+
+
+def _batches(pdf_iter, rows):
+    """Tokens of about BATCH words at a time: (words, buckets, features)."""
     held, n = [], 0
     for pdf in pdf_iter:
         for text in pdf["text"].tolist():
             w, b = tokens(text)
-            held.append((b, history_features(w, b)))
+            held.append((w, b, history_features(w, b, rows)))
             n += len(w)
             if n >= BATCH:
                 yield tuple(np.concatenate(x) for x in zip(*held))
@@ -147,42 +183,51 @@ def train(docs: DataFrame, model: Model) -> None:
     """Distributed gradient updates: each task steps over its documents from the common weights; the weights are then averaged by tokens."""
     spark = docs.sparkSession
     for turn in range(ROUNDS):
-        held = spark.sparkContext.broadcast((model.weights, model.bias, model.class_of))
+        held = spark.sparkContext.broadcast(model)
         rate = RATE / (1 + turn)
 
         def step(pdfs, held=held, rate=rate):
-            start, bias, class_of = held.value
-            weights, done = start.copy(), 0
-            steps = np.full(weights.shape, 1e-2, dtype=np.float32)
-            for buckets, features in _batches(pdfs):
-                p = class_probabilities(weights, bias, features)
-                p[np.arange(len(p)), class_of[buckets]] -= 1
-                slope = np.zeros(weights.shape, dtype=np.float32)
-                for k in range(features.shape[1]):
-                    row = features[:, k].astype(np.uint16)
-                    order = np.argsort(row, kind="stable")
-                    first = np.concatenate(([0], np.flatnonzero(np.diff(row[order])) + 1))
-                    slope[row[order[first]]] += np.add.reduceat(p[order], first, axis=0)
-                slope /= 64
-                steps += slope * slope
-                weights -= rate * slope / np.sqrt(steps)
+            m = held.value
+            table, done = m.table.copy(), 0
+            steps = np.full(table.shape, 1e-2, dtype=np.float32)
+            sides = slice(0, CLASSES), slice(CLASSES, CLASSES + SLOTS)
+
+            def move(side, p, features):
+                row = features.T.ravel()
+                order = np.argsort(row, kind="stable")
+                first = np.concatenate(([0], np.flatnonzero(np.diff(row[order])) + 1))
+                slope = np.add.reduceat(p[order % len(p)], first, axis=0) / 64
+                row = row[order[first]]
+                steps[row, side] += slope * slope
+                table[row, side] -= rate * slope / np.sqrt(steps[row, side])
+
+            inner_bias = m.inner_bias
+            for words, buckets, features in _batches(pdfs, len(table)):
+                of = m.class_of[buckets]
+                p = class_probabilities(table[:, sides[0]], m.bias, features)
+                p[np.arange(len(p)), of] -= 1
+                move(sides[0], p, features)
+                inner = inner_features(features, of, len(table))
+                p = class_probabilities(table[:, sides[1]], inner_bias[of], inner)
+                p[np.arange(len(p)), m.slots(words.view(np.int64))] -= 1
+                move(sides[1], p, inner)
                 done += len(p)
             if done:
                 from pyspark import TaskContext
 
                 part = TaskContext.get().partitionId()
-                moved = ((weights - start) * done).astype(np.float32)
+                moved = ((table - m.table) * done).astype(np.float32)
                 for s, piece in enumerate(np.array_split(moved, SLABS)):
                     yield pd.DataFrame({"slab": [s], "part": [part], "tokens": [float(done)], "moved": [piece.tobytes()]})
 
         shape = "slab int, part int, tokens double, moved binary"
-        moves = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text").mapInPandas(step, shape)
+        moves = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text").coalesce(TASKS).mapInPandas(step, shape)
         # Two stages of sums, so that no task adds more than about the root of all moves.
         moves = _summed(moves.withColumn("part", F.col("part") % 64), ["slab", "part"])
         total = sorted(_summed(moves.withColumn("part", F.lit(0)), ["slab"]).collect())
         if total:
-            moved = np.concatenate([np.frombuffer(r["moved"], dtype=np.float32).reshape(-1, CLASSES) / max(r["tokens"], 1) for r in total])
-            model.weights = model.weights + moved.astype(np.float32)
+            moved = np.concatenate([np.frombuffer(r["moved"], dtype=np.float32).reshape(-1, CLASSES + SLOTS) / max(r["tokens"], 1) for r in total])
+            model.table = model.table + moved.astype(np.float32)
 
 
 def _summed(moves: DataFrame, by: list[str]) -> DataFrame:
@@ -199,6 +244,14 @@ def _summed(moves: DataFrame, by: list[str]) -> DataFrame:
     return moves.repartition(*by).mapInPandas(add, "slab int, part int, tokens double, moved binary")
 
 
+def table_rows(tokens: int, partitions: int) -> int:
+    """Rows of weights for so many counted tokens; past TASKS partitions they grow with the corpus."""
+    rows = FEATURES
+    while rows < MOST_FEATURES and 2 * rows * TOKENS_A_ROW <= tokens / max(1, min(TASKS, partitions)):
+        rows *= 2
+    return rows
+
+
 def fit(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
     """The model of docs (doc_id, text), and the counts (word, n) of all its words. Everything covers all rows."""
     counted = written(count_words(docs), folder, "counts")
@@ -207,13 +260,15 @@ def fit(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
     cells = counted.where("kind = 1").select("key", "n").toPandas()  # at most BUCKETS * 2 * GROUPS rows
     near.ravel()[cells["key"].to_numpy()] = cells["n"].to_numpy()
     class_of = cluster(near)
-    by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    by_bucket = counts.groupBy("bucket", F.col("word").bitwiseAND(F.lit(SHARED - 1)).cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
     mass, once, words = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
+    slot_mass = np.zeros((CLASSES, SLOTS))
     for r in by_bucket:
         c = class_of[r["bucket"]]
         mass[c] += r["n"]
         once[c] += r["once"]
         words[c] += r["words"]
+        slot_mass[c, r["slot"]] += r["n"]
     left = (once + 0.5) / (mass + 1)
     left = np.minimum(left, 0.5)
     # The head takes words down to the step of the logarithm of counts at which there are HEAD at most.
@@ -224,9 +279,17 @@ def fit(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
         if room < 0:
             break
         least = r["step"]
-    head = counts.where(step >= least if least is not None else F.lit(False)).select("word", "n").toPandas().sort_values("word")
+    head = counts.where(step >= least if least is not None else F.lit(False)).select("word", "bucket", "n").toPandas().sort_values("word")
+    head_of = class_of[head["bucket"].to_numpy(np.int64)]
+    best = head.assign(of=head_of).sort_values(["of", "n", "word"], ascending=[True, False, True])
+    best = best.assign(slot=SHARED + best.groupby("of").cumcount()).query("slot < @SLOTS").sort_values("word")
+    own, own_slot, own_n = (best[c].to_numpy(np.int64) for c in ("word", "slot", "n"))
+    own_of = best["of"].to_numpy(np.int64)
+    np.subtract.at(slot_mass, (own_of, own & (SHARED - 1)), own_n)
+    np.add.at(slot_mass, (own_of, own_slot), own_n)
+    rows = table_rows(int(mass.sum()), docs.rdd.getNumPartitions())
     model = Model(
-        weights=np.zeros((FEATURES, CLASSES), dtype=np.float32),
+        table=np.zeros((rows, CLASSES + SLOTS), dtype=np.float32),
         bias=np.log((mass + 1) / (mass + 1).sum()).astype(np.float32),
         class_of=class_of,
         seen=np.log10((1 - left) / np.maximum(mass, 1)),
@@ -235,6 +298,9 @@ def fit(docs: DataFrame, folder: str) -> tuple[Model, DataFrame]:
         distinct=int(words.sum()),
         head=head["word"].to_numpy(np.int64),
         head_counts=head["n"].to_numpy(np.int64),
+        own=own,
+        own_slot=own_slot,
+        share=slot_mass / np.maximum(mass, 1)[:, None],
     )
     train(docs, model)
     return model, counts.select("word", "n")
@@ -254,6 +320,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(pdfs):
         m = held.value
+        inner_bias = m.inner_bias
         for pdf in pdfs:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             at = 0
@@ -263,20 +330,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     some.append((ids[at], *tokens(texts[at])))
                     n += len(some[-1][1])
                     at += 1
-                features = np.concatenate([history_features(w, b) for _, w, b in some])
+                features = np.concatenate([history_features(w, b, len(m.table)) for _, w, b in some])
                 words = np.concatenate([w for _, w, _ in some]).view(np.int64)
                 of = m.class_of[np.concatenate([b for _, _, b in some])]
-                logp = np.empty(len(of))
+                slot = m.slots(words)
+                logp, inside = np.empty(len(of)), np.empty(len(of))
                 for i in range(0, len(of), BATCH):
                     p = class_probabilities(m.weights, m.bias, features[i : i + BATCH])
                     logp[i : i + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), of[i : i + BATCH]], 1e-30))
+                    c, k = of[i : i + BATCH], slot[i : i + BATCH]
+                    p = class_probabilities(m.inner_weights, inner_bias[c], inner_features(features[i : i + BATCH], c, len(m.table)))
+                    # How much more likely the slot is than by its share of the class, which the counts below stand for.
+                    inside[i : i + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), k], 1e-30) / np.maximum(m.share[c, k], 1e-30))
                 sizes = np.array([len(w) for _, w, _ in some])
                 doc = np.repeat(np.arange(len(some)), sizes)
                 place = np.minimum(np.searchsorted(m.head, words), max(0, len(m.head) - 1))
                 known = m.head[place] == words if len(m.head) else np.zeros(len(words), dtype=bool)
                 n = np.where(known, m.head_counts[place], 1) if len(m.head) else np.ones(len(words))
                 base = np.bincount(doc, np.where(known, np.log10(n + 1), 0.0), len(some))
-                full = np.bincount(doc, logp + np.where(known, np.log10(n) + m.seen[of], 0.0), len(some))
+                full = np.bincount(doc, logp + np.where(known, np.log10(n) + m.seen[of] + inside, 0.0), len(some))
                 hits = np.bincount(doc, known, len(some)).astype(np.int64)
                 base -= sizes * np.log10(m.total + m.distinct + 1)
                 who = np.array([x[0] for x in some])
@@ -285,9 +357,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 rare = np.flatnonzero(~known)
                 if len(rare):
                     key = np.stack([doc[rare], words[rare]])
-                    _, first, times = np.unique(key, axis=1, return_index=True, return_counts=True)
+                    _, first, back, times = np.unique(key, axis=1, return_index=True, return_inverse=True, return_counts=True)
+                    inner = np.bincount(back.ravel(), inside[rare])
                     first = rare[first]
-                    yield pd.DataFrame({"doc_id": who[doc[first]], "word": words[first], "code": times * CLASSES + of[first], "base": 0.0, "score": 0.0})
+                    yield pd.DataFrame({"doc_id": who[doc[first]], "word": words[first], "code": times * CLASSES + of[first], "base": 0.0, "score": inner})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.mapInPandas(run, SCORED).join(counts, "word", "left")
@@ -301,7 +374,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         F.when(own, F.floor(whole / (1 << 31))).otherwise(0).alias("n_tokens"),
         F.when(own, whole % (1 << 31)).when(F.col("n").isNotNull(), times).otherwise(0).alias("n_known"),
         F.when(own, F.col("base")).when(F.col("n").isNotNull(), times * F.log10(F.col("n") + 1)).otherwise(0.0).alias("base_score"),
-        F.when(own, F.col("score")).when(F.col("n").isNotNull(), times * (F.log10("n") + F.get(seen, cls))).otherwise(times * F.get(unseen, cls)).alias("score"),
+        F.when(own, F.col("score")).when(F.col("n").isNotNull(), times * (F.log10("n") + F.get(seen, cls)) + F.col("score")).otherwise(times * F.get(unseen, cls)).alias("score"),
     )
     return parts.groupBy("doc_id").agg(F.sum("n_tokens").cast("long").alias("n_tokens"), F.sum("n_known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
 

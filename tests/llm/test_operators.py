@@ -413,3 +413,17 @@ def test_chat_levels(spark):
     got = chat.chat_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depends_on array<string>")).collect()
     want = {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): 3, (1, 5): 4, (2, 0): None, (2, 1): None, (2, 2): None, (2, 3): None, (2, 4): None, (2, 5): 0, (3, 0): 1, (3, 1): 0, (None, 0): 0}
     assert len(got) == len(rows) and {(r["conv_id"], r["turn"]): r["level"] for r in got} == want
+
+
+def test_words_of_one_class_are_told_apart_by_history(spark):
+    """Two words of one ending and one count: the one that follows a word always is likelier there; and slots' probabilities add up to 1."""
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(["left xxqaaa", "right yyqaaa"]) for _ in range(40))) for i in range(200)] + [(900, "left xxqaaa"), (901, "left yyqaaa"), (902, "right xxqaaa"), (903, "right yyqaaa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = maxent.fit(docs.where("doc_id < 900"), shared_dir(spark))
+    w, b = maxent.tokens("left xxqaaa yyqaaa")
+    assert b[1] == b[2] and model.class_of[b[1]] == model.class_of[b[2]]
+    assert np.allclose(model.share[model.share.sum(axis=1) > 0].sum(axis=1), 1)
+    s = {x["doc_id"]: x["score"] for x in maxent.score(docs, model, counts).collect()}
+    assert s[900] > s[901] + 0.3 and s[903] > s[902] + 0.3
+    assert maxent.table_rows(5_000_000_000, 2000) > maxent.table_rows(1_000_000_000, 400) > maxent.table_rows(1000, 1) == maxent.FEATURES
