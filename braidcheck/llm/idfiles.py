@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import id_or_null, identified, lean, shared_dir, table
 from .tokens import blank_led, encoder, public_path
 
 MAGIC = b"BPF1"
@@ -33,6 +33,8 @@ PERCENTILE = 0.9
 #: Blocks that are packed or unpacked at once; bounds the memory.
 SLAB = 2048
 END_ID = 0
+#: Rows that a task that reads files hands on at once.
+ROWS_AT_ONCE = 20_000
 _HEAD = struct.Struct("<IBBB")
 _FOOT = struct.Struct("<QQQ4s")
 
@@ -41,6 +43,11 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.int64)
 
 
+def _holding(width: int) -> np.dtype:
+    """The narrowest of 16 and 32 bits that holds so many."""
+    return np.dtype("<u2" if width <= 16 else "<u4")
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """Blocks of BLOCK ids each; the last may be shorter. Any unsigned 32-bit ids; none gives no block."""
     out: list[bytes] = []
@@ -62,9 +69,10 @@ def _pack(rows: np.ndarray, percentile: float) -> list[bytes]:
     out: list[bytes] = [b""] * len(rows)
     for w in np.unique(width).tolist():
         of = np.flatnonzero(width == w)
-        kept = np.where(over[of], 0, diffs[of])
-        planes = ((kept[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(of), n * w)
-        packed = np.packbits(planes, axis=1, bitorder="little")
+        kind = _holding(w)
+        kept = np.where(over[of], 0, diffs[of]).astype(kind)
+        planes = np.unpackbits(kept.view(np.uint8).reshape(len(of), n, -1), axis=2, bitorder="little")[:, :, :w]
+        packed = np.packbits(planes.reshape(len(of), n * w), axis=1, bitorder="little")
         for k, i in enumerate(of.tolist()):
             places = np.flatnonzero(over[i])
             out[i] = _HEAD.pack(int(low[i]), n, w, len(places)) + packed[k].tobytes() + places.astype(np.uint8).tobytes() + diffs[i][places].astype("<u4").tobytes()
@@ -83,8 +91,10 @@ def unpack_blocks(raw: bytes, starts: list[int]) -> np.ndarray:
         size = (n * w + 7) // 8
         at = np.array([starts[k] for k in of]) + _HEAD.size
         if w:
-            planes = np.unpackbits(flat[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * w).reshape(len(of), n, w)
-            diffs = (planes.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            kind = _holding(w)
+            planes = np.zeros((len(of), n, 8 * kind.itemsize), dtype=np.uint8)
+            planes[:, :, :w] = np.unpackbits(flat[at[:, None] + np.arange(size)], axis=1, bitorder="little", count=n * w).reshape(len(of), n, w)
+            diffs = np.packbits(planes, axis=2, bitorder="little").view(kind).reshape(len(of), n).astype(np.uint32)
         else:
             diffs = np.zeros((len(of), n), dtype=np.uint32)
         for row, k, where in zip(diffs, of, (at + size).tolist(), strict=True):
@@ -133,26 +143,41 @@ class Writer:
 
 
 class Reader:
-    """Reads one file; ``ids(first, end)`` unpacks only the blocks that it needs."""
+    """Reads one file; ``ids(first, end)`` reads and unpacks only the blocks that it needs.
 
-    def __init__(self, raw: bytes) -> None:
-        docs, blocks, self.count, magic = _FOOT.unpack_from(raw, len(raw) - _FOOT.size)
-        if magic != MAGIC or raw[:4] != MAGIC:
+    source: the bytes of a file, or a binary file that can seek; of the latter only the index and the asked blocks are held.
+    """
+
+    def __init__(self, source) -> None:
+        if isinstance(source, bytes):
+            self.size, self.read = len(source), lambda at, n: source[at : at + n]
+        else:
+            self.size = source.seek(0, 2) or source.tell()
+
+            def read(at: int, n: int) -> bytes:
+                source.seek(at)
+                return source.read(n)
+
+            self.read = read
+        whole = self.size >= _FOOT.size + len(MAGIC)
+        docs, blocks, self.count, magic = _FOOT.unpack(self.read(self.size - _FOOT.size, _FOOT.size)) if whole else (0, 0, 0, b"")
+        if magic != MAGIC or self.read(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a file of packed token ids")
-        at = len(raw) - _FOOT.size - 8 * blocks - 12 * docs
-        self.raw = raw
-        self.docs = np.frombuffer(raw, "<i8", docs, at)
-        self.sizes = np.frombuffer(raw, "<u4", docs, at + 8 * docs)
-        self.starts = np.frombuffer(raw, "<u8", blocks, at + 12 * docs).astype(np.int64).tolist()
+        self.end = self.size - _FOOT.size - 8 * blocks - 12 * docs
+        held = self.read(self.end, 8 * blocks + 12 * docs)
+        self.docs = np.frombuffer(held, "<i8", docs)
+        self.sizes = np.frombuffer(held, "<u4", docs, 8 * docs)
+        self.starts = np.append(np.frombuffer(held, "<u8", blocks, 12 * docs).astype(np.int64), self.end)
 
     def ids(self, first: int, end: int) -> np.ndarray:
         if first >= end:
             return np.zeros(0, dtype=np.uint32)
-        b = first // BLOCK
-        return unpack_blocks(self.raw, self.starts[b : (end - 1) // BLOCK + 1])[first - b * BLOCK : end - b * BLOCK]
+        b, e = first // BLOCK, (end - 1) // BLOCK + 1
+        at = int(self.starts[b])
+        return unpack_blocks(self.read(at, int(self.starts[e]) - at), (self.starts[b:e] - at).tolist())[first - b * BLOCK : end - b * BLOCK]
 
     def documents(self):
-        """(doc_id, place of its first id, its ids), a slab of blocks at a time."""
+        """(doc_id, place of its first id, its ids), a slab of blocks at a time; a document over a slab is one array."""
         ends = np.cumsum(self.sizes, dtype=np.int64).tolist()
         k, n = 0, len(ends)
         while k < n:
@@ -179,11 +204,12 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
     Returns (part, docs, ids), one row per file. A task writes under a name of its own and
     renames the file when it is whole, so a task that runs again leaves the same file. A null
     or empty text gives end_id alone; documents that share a doc_id follow each other by text;
-    an empty table gives no files.
+    an empty table gives no files. A null doc_id is written as NO_ID, the least number, and so comes first.
     """
     parts = parts or max(2, 2 * docs.rdd.getNumPartitions())
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @lean
     def run(batches):
         import uuid
 
@@ -209,7 +235,7 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
             yield pd.DataFrame({"part": [part], "docs": [len(writer.docs)], "ids": [writer.ids]})
 
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        identified(docs)
         .repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInPandas(run, "part int, docs long, ids long")
@@ -222,20 +248,28 @@ def read_id_files(spark: SparkSession, folder: str, before: dict[int, int]) -> D
     def run(batches):
         store, at = file_system(folder)
         for pdf in batches:
-            for part in pdf["part"].tolist():
+            for part, ids_before in zip(pdf["part"].tolist(), pdf["before"].tolist()):
                 with store.open_input_file(f"{at}/part-{part:05d}.bpf") as f:
-                    reader = Reader(f.read())
-                rows = [(doc, before[part] + start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))) for doc, start, ids in reader.documents()]
+                    rows = []
+                    for doc, start, ids in Reader(f).documents():
+                        rows.append((doc, ids_before + start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
+                        if len(rows) >= ROWS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                            rows = []
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    names = spark.createDataFrame([(p,) for p in before] or [(0,)], "part int")
+    names = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
     if not before:
         names = names.limit(0)
-    return names.repartition(max(1, len(before))).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return names.repartition(max(1, len(before))).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", id_or_null())
 
 
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all documents as id files in the shared folder and report them as read back."""
+    """Write all documents as id files in the shared folder and report them as read back.
+
+    doc_id, start, n_tokens, ids_crc32 of every row. A null or empty text has the end id alone; rows that share a doc_id follow each
+    other by text and come back as often; a null doc_id is the first; an empty table gives no rows; other columns are not read.
+    """
     folder = f"{shared_dir(spark)}/ids"
     written = write_id_files(table(spark, sf_dir, "documents"), folder, public_path("byte_bpe_50k.json"))
     before, total = {}, 0
