@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import discard, id_or_null, identified, lean, shared_dir, table, written
 from .hashing import _BLANK, hashes_of_words, mix, powers, prefix_sums, text_bytes
 from .suffixes import deep_shallow_sort, intervals
 
@@ -32,7 +32,7 @@ GRAM = 50
 #: A gram with more classes than this is resolved by counting hashes; so many take about 20 MB to sort.
 HOT_CLASSES = 20_000
 #: Rows that a Python task hands on at once.
-ROWS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 8_000
 #: Sizes of the blocks of string starts whose hashes are counted, one after another.
 STEPS = (64, 8, 1)
 #: Bytes whose grams are hashed at once.
@@ -41,7 +41,6 @@ _PLACE = np.uint64(SLICE * 2 - 1)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-
 @dataclass(frozen=True)
 class Unit:
     """Strings of `length` places that must not repeat, and their grams; a place is a byte of the text, or a word.
@@ -154,36 +153,43 @@ def occurrences(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     to l places on, whatever the number of anchors.
     """
 
-    def one(doc_id, text, rows):
+    def one(doc_id, text):
         data = unit.places(text)
         at = anchors(data, unit)
         if not len(at):
             return
         l, r = np.minimum(unit.back, at), np.minimum(unit.length, len(data) - at)
         gram = hashes_between(data, at, at + unit.gram)
+        # The surroundings hold the gram, at l.
         whole = mix(hashes_between(data, at - l, at + r) + l.astype(np.uint64) * _SALT)
-        _, first, n = np.unique(np.stack([gram, whole]), axis=1, return_index=True, return_counts=True) if len(at) > 1 else (None, np.array([0]), np.array([1]))
-        if (n > 1).any():
-            _, back = np.unique(np.stack([gram, whole]), axis=1, return_inverse=True)
+        _, first, back, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        yield [np.broadcast_to(x, len(first)) for x in (0, gram[first].view(np.int64), whole[first].view(np.int64), doc_id, at[first], l[first], r[first], n)]
+        if len(first) < len(at):
             again = n[back.ravel()] > 1
             for b, e in merged(at[again] - l[again], at[again] + r[again]):
                 # Spans longer than an int can hold are written in pieces.
                 for p in range(b, e, 1 << 30):
-                    rows.append((1, 0, 0, doc_id, p, min(1 << 30, e - p), 0, 0))
-        for i, times in zip(first.tolist(), n.tolist()):
-            rows.append((0, int(gram[i].view(np.int64)), int(whole[i].view(np.int64)), doc_id, int(at[i]), int(l[i]), int(r[i]), times))
+                    yield [np.array([x]) for x in (1, 0, 0, doc_id, p, min(1 << 30, e - p), 0, 0)]
+
+    def frame(rows):
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(columns, zip(*rows))})
 
     columns = ["kind", "gram", "class", "doc_id", "pos", "l", "r", "n"]
 
+    @lean
     def run(batches):
         for pdf in batches:
-            rows: list[tuple] = []
+            rows: list[list] = []
+            n = 0
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                one(doc_id, text, rows)
-                if len(rows) >= ROWS_AT_ONCE:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                for some in one(doc_id, text):
+                    rows.append(some)
+                    n += len(some[1])
+                if n >= ROWS_AT_ONCE:
+                    yield frame(rows)
+                    rows, n = [], 0
+            if rows:
+                yield frame(rows)
 
     return docs.mapInPandas(run, OCCURRENCES)
 
@@ -227,6 +233,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     kinds = dict(wanted.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rest) + ", before binary, after binary"
 
+    @lean
     def run(batches):
         for pdf in batches:
             rows = []
@@ -252,6 +259,7 @@ def _sorted_groups(around: DataFrame, unit: Unit) -> DataFrame:
         found = shared_stretches([x[2] for x in items], [x[3] for x in items], unit)
         return [(x[0], x[1], depth, right) for x, some in zip(items, found) for depth, right in some]
 
+    @lean
     def run(batches):
         held: list[tuple] = []
         for pdf in batches:
@@ -277,6 +285,8 @@ def _counted_groups(around: DataFrame, folder: str, unit: Unit) -> DataFrame:
     """
     held = around.select("gram", "class", "n", "before", "after").dropDuplicates(["gram", "class"])
     held = written(held, folder, "hot")
+    if held.isEmpty():
+        return held.select("gram", "class", F.lit(0).alias("back"), F.lit(0).alias("ahead"))
     blocks = None
     found = None
     for level, size in enumerate(STEPS):
@@ -321,25 +331,40 @@ def _counted_groups(around: DataFrame, folder: str, unit: Unit) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, folder: str, unit: Unit = BYTES) -> DataFrame:
-    """(doc_id, spans): stretches of places that belong to a repeated string of unit.length places."""
+    """(doc_id, spans): stretches of places that belong to a repeated string of unit.length places. A written table, the only one that stays in folder.
+
+    A document's row holds as many spans as it has anchors at most, so it is no larger than its text.
+    """
+    spark = docs.sparkSession
     seen = written(occurrences(docs, unit), folder, "anchors")
-    # Grams that occur once are most of all and go first; their count is summed up before it is shuffled.
-    again = seen.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
+    # Grams that occur once are most of all and go first; their count is summed up before it is shuffled. What is summed up by gram is
+    # written before it is joined, so that a gram that very many anchors share is split among tasks.
+    again = written(seen.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram"), folder, "again")
     real = written(seen.where("kind = 0").drop("kind").join(again, "gram", "left_semi"), folder, "repeated")
+    own = written(seen.where("kind = 1").select("doc_id", F.col("pos").alias("b"), (F.col("pos") + F.col("l")).alias("e")), folder, "own")
+    for name in ("anchors", "again"):
+        discard(spark, f"{folder}/{name}")
     # Any occurrence can stand for its class; all firsts of a group are of one row.
-    classes = real.groupBy("gram", "class").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "pos", "l", "r")])
-    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("rarest"))
-    classes = written(classes.join(grams, "gram"), folder, "classes")
+    counted = written(real.groupBy("gram", "class").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "pos", "l", "r")]), folder, "counted")
+    grams = written(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("rarest")), folder, "grams")
+    classes = counted.join(grams, "gram")
 
     asked = classes.where("classes > 1 and rarest = 1").select("gram", "class", "n", "doc_id", "pos", "l", "r", (F.col("classes") > HOT_CLASSES).alias("hot"))
     around = written(_surroundings(docs, asked, unit), folder, "around")
+    discard(spark, f"{folder}/grams")
     found = _sorted_groups(around.where("not hot"), unit).union(_counted_groups(around.where("hot"), folder, unit))
-    alike = classes.where(f"n > 1 and l + r >= {unit.length}").select("gram", "class", F.col("l").alias("back"), F.col("r").alias("ahead"))
+    alike = counted.where(f"n > 1 and l + r >= {unit.length}").select("gram", "class", F.col("l").alias("back"), F.col("r").alias("ahead"))
+    # At most unit.back + 1 of a class, one a depth to the left.
     stretches = found.union(alike).groupBy("gram", "class").agg(F.collect_set(F.struct("back", "ahead")).alias("stretches"))
+    stretches = written(stretches, folder, "stretches")
+    for name in ("around", "counted", "hot", *(f"{x}{k}" for x in ("blocks", "judged") for k in range(len(STEPS)))):
+        discard(spark, f"{folder}/{name}")
 
     spans = real.join(stretches, ["gram", "class"]).select("doc_id", "pos", F.explode("stretches").alias("x")).select("doc_id", (F.col("pos") - F.col("x.back")).alias("b"), (F.col("pos") + F.col("x.ahead")).alias("e"))
-    own = seen.where("kind = 1").select("doc_id", F.col("pos").alias("b"), (F.col("pos") + F.col("l")).alias("e"))
-    return spans.union(own).groupBy("doc_id").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    spans = written(spans.union(own).groupBy("doc_id").agg(F.collect_list(F.struct("b", "e")).alias("spans")), folder, "spans")
+    for name in ("repeated", "own", "stretches"):
+        discard(spark, f"{folder}/{name}")
+    return spans
 
 
 def cut(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -366,18 +391,25 @@ def without_repeats(docs: DataFrame, folder: str, units: dict[str, Unit] | None
     """docs (doc_id, text, and any others that come along) joined with the spans to remove, a column for each of units (spans, of bytes).
 
     Rows that share a doc_id must share their text; they count as repeats of each other and come
-    back as often. Null texts count as empty; texts under a unit's length hold nothing to remove.
+    back as often. Rows without doc_id are documents like others. Null texts count as empty; texts under a unit's length hold nothing to remove.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text")))
+    texts = docs.select(F.col("_own").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for name, unit in ({"spans": BYTES} if units is None else units).items():
-        spans = written(repeated_spans(texts, f"{folder}/{name}", unit), folder, f"{name}-found")
-        docs = docs.join(spans.withColumnRenamed("spans", name), "doc_id", "left")
-    return docs
+        spans = repeated_spans(texts, f"{folder}/{name}", unit)
+        docs = docs.join(spans.select(F.col("doc_id").alias("_own"), F.col("spans").alias(name)), "_own", "left")
+    return docs.drop("_own")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of documents, by without_repeats with strings of LENGTH bytes.
+
+    Null and empty texts have 0 bytes; rows that repeat a document lose all strings of LENGTH bytes, as each also starts in the other;
+    texts of any length are whole; an empty table gives no rows; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
+    @lean
     def run(batches):
         for pdf in batches:
             rows = []
@@ -387,4 +419,5 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc_id, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return without_repeats(docs, shared_dir(spark)).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = without_repeats(docs, shared_dir(spark))
+    return identified(found, "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", id_or_null())
