@@ -8,6 +8,7 @@ pieces of the same length, so no task and no driver ever holds the pieces.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, table, written
+from .common import id_or_null, identified, lean, shared_dir, table, written
 from .tokens import blank_separated, encoder, public_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Ranks are counted in so many parts of each length, so that a length that a third of all pieces have is spread.
-RANK_PARTS = 64
+#: Ranks are counted in parts of each length, of about so many pieces and so many parts at least, so that a length that a third of all pieces have is spread.
+PART_PIECES, LEAST_PARTS = 250_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -30,10 +31,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of each document: ids of the whole text, then end_id; longer ones are cut.
 
-    A null or empty text gives one piece that holds end_id alone; a repeated row gives its pieces again.
+    A null or empty text gives one piece that holds end_id alone; a repeated row gives its pieces again; a null doc_id stays null.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    @lean
     def run(batches):
         encode = encoder(tokenizer_path, blank_separated)
         for pdf in batches:
@@ -47,7 +49,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
         encode.rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return identified(docs).mapInPandas(run, PIECES).withColumn("doc_id", id_or_null())
 
 
 @dataclass
@@ -62,88 +64,87 @@ class Slot:
     offset: int
 
 
+def _longest_two(lengths: np.ndarray, have: np.ndarray, room: int) -> int:
+    """The most that two pieces of the ascending lengths, of which there are have, fill of room; 0 if no two fit."""
+    if not len(lengths):
+        return 0
+    best = 0
+    twice = lengths[(have[lengths] > 1) & (2 * lengths <= room)]
+    if len(twice):
+        best = 2 * int(twice[-1])
+    # The longest partner of each that is shorter than itself.
+    partner = np.minimum(np.searchsorted(lengths, room - lengths, side="right"), np.arange(len(lengths))) - 1
+    some = np.flatnonzero(partner >= 0)
+    return max(best, int((lengths[some] + lengths[partner[some]]).max(initial=0)))
+
+
 class Plan:
     """Sequences by groups that are filled alike: a group is (contents, how many)."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY) -> None:
         self.capacity = capacity
-        self.left = {length: n for length, n in counts.items() if n}
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
         self.groups: list[tuple[tuple[tuple[int, int], ...], int]] = []
-        self.fixed = 0
         self._reduce()
-        self._best_fit()
-
-    def _fix(self, contents: tuple[tuple[int, int], ...], times: int) -> None:
-        self.groups.append((contents, times))
-        self.fixed += times
-        for length, each in contents:
-            self.left[length] -= each * times
-            if not self.left[length]:
-                del self.left[length]
+        #: Sequences that the reduction has fixed, and how many groups of them.
+        self.fixed, self.fixed_groups = self.sequences, len(self.groups)
+        least = -(-int((self.left * np.arange(capacity + 1)).sum()) // capacity)
+        rest = self._best_fit()
+        if sum(times for _, times in rest) > least:
+            rest = min(rest, self._best_filled(), key=lambda groups: sum(times for _, times in groups))
+        self.groups += rest
 
     def _reduce(self) -> None:
-        """Martello and Toth's criterion, for all pieces of the longest length left at once.
-
-        The sequence with the longest piece j is fixed when one set of companions dominates
-        all others that fit: nothing fits; or the best single companion k fills the room; or no
-        two pieces fit and k is the longest that does; or k is at least as long as the two pieces
-        that fill the room best together. When no such set exists the rest goes to best fit.
+        """Martello and Toth's reduction: for each length, the longest first, fix its sequence as long as one set of companions dominates all others that fit."""
+        for j in range(self.capacity, 0, -1):
+            while self.left[j] and (companions := self._dominating(j)) is not None:
+                each = Counter([j, *companions])
+                times = min(int(self.left[x]) // n for x, n in each.items())
+                self.groups.append((tuple(sorted(each.items(), reverse=True)), times))
+                for x, n in each.items():
+                    self.left[x] -= n * times
+
+    def _dominating(self, j: int) -> list[int] | None:
+        """Companions of a piece j that dominate all other sets which fit beside it, or None if none is known to.
+
+        A set dominates another if the other's pieces can be dealt to its pieces so that none gets more than its own length. That is so of
+        no companion if none fits; of the longest that fits if it fills the room, if no two fit, or if no three fit and no two
+        together are longer; and of the longest with the longest that fits beside it, if no three fit and any two that are both longer than
+        the second are together no longer than the first. Fixing a set leaves fewer others, so it may be repeated while its pieces last.
         """
-        done: set[int] = set()
-        while True:
-            lengths = sorted((x for x in self.left if x not in done), reverse=True)
-            if not lengths:
-                return
-            j = lengths[0]
-            room = self.capacity - j
-            fit = sorted(x for x in self.left if x <= room and (x != j or self.left[j] > 1))
-            if not fit:
-                self._fix(((j, 1),), self.left[j])
-                continue
-            k = fit[-1]
-            two = self._best_two(fit, room, j)
-            if k == room or two <= k:
-                if k == j:
-                    times = self.left[j] // 2
-                    self._fix(((j, 2),), times)
-                else:
-                    self._fix(((j, 1), (k, 1)), min(self.left[j], self.left[k]))
-                continue
-            done.add(j)
-            # A longest piece without a dominating set ends the reduction of the longest; go on
-            # with the exact complements of the others, which need no search.
-            for j in lengths[1:]:
-                k = self.capacity - j
-                if j in self.left and k in self.left and (k != j or self.left[j] > 1):
-                    if k == j:
-                        self._fix(((j, 2),), self.left[j] // 2)
-                    else:
-                        self._fix(((j, 1), (k, 1)), min(self.left[j], self.left[k]))
-            return
-
-    def _best_two(self, fit: list[int], room: int, j: int) -> int:
-        """The most that two pieces fill of room; 0 if no two fit."""
-        have = lambda x: self.left[x] - (x == j)
-        best, lo, hi = 0, 0, len(fit) - 1
-        while lo <= hi:
-            if lo == hi:
-                return max(best, 2 * fit[lo]) if have(fit[lo]) > 1 and 2 * fit[lo] <= room else best
-            total = fit[lo] + fit[hi]
-            if have(fit[hi]) > 1 and 2 * fit[hi] <= room:
-                best = max(best, 2 * fit[hi])
-            if total > room:
-                hi -= 1
-            else:
-                best = max(best, total)
-                lo += 1
-        return best
-
-    def _best_fit(self) -> None:
+        room = self.capacity - j
+        have = self.left[: room + 1]
+        if j <= room:
+            have = have.copy()
+            have[j] -= 1
+        fit = np.flatnonzero(have > 0)
+        if not len(fit):
+            return []
+        first = int(fit[-1])
+        if first == room:
+            return [first]
+        three = np.repeat(fit[:3], np.minimum(have[fit[:3]], 3))[:3]
+        if three[:2].sum() > room or len(three) < 2:
+            return [first]
+        if len(three) == 3 and three.sum() <= room:
+            return None
+        if _longest_two(fit, have, room) <= first:
+            return [first]
+        beside = fit[fit <= room - first]
+        beside = beside[(beside != first) | (have[beside] > 1)]
+        if not len(beside):
+            return None
+        second = int(beside[-1])
+        return [first, second] if _longest_two(fit[fit > second], have, room) <= first else None
+
+    def _best_fit(self) -> list[tuple[tuple[tuple[int, int], ...], int]]:
         """Best-fit decreasing over lengths: pieces go where the least room that holds them is left."""
         open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
         rooms = np.zeros(self.capacity + 1, dtype=bool)
-        for length in sorted(self.left, reverse=True):
-            n = self.left[length]
+        for length in np.flatnonzero(self.left)[::-1].tolist():
+            n = int(self.left[length])
             while n:
                 found = np.flatnonzero(rooms[length:])
                 if not len(found):
@@ -167,8 +168,35 @@ class Plan:
                 else:
                     self._put(open_, rooms, room - each * length, contents + ((length, each),), times)
                     n -= times * each
-        for some in open_.values():
-            self.groups += some
+        return [group for some in open_.values() for group in some]
+
+    def _best_filled(self) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        """Another best fit, for where the first leaves more than the least thinkable number: a sequence at a time, the longest piece with what fills its room best."""
+        left, out = self.left.copy(), []
+        while (lengths := np.flatnonzero(left)[::-1].tolist()):
+            j = lengths[0]
+            left[j] -= 1
+            # Bit s of a number is set if lengths up to there can fill s.
+            room, reach, steps = self.capacity - j, 1, []
+            mask = (1 << (room + 1)) - 1
+            for x in lengths:
+                n, size = min(int(left[x]), room // x), 1
+                while n > 0 and not reach >> room & 1:
+                    take = min(size, n)
+                    steps.append((x, take, reach))
+                    reach |= reach << (x * take) & mask
+                    n, size = n - take, size * 2
+            left[j] += 1
+            at, each = reach.bit_length() - 1, Counter([j])
+            for x, take, before in reversed(steps):
+                if not before >> at & 1:
+                    each[x] += take
+                    at -= x * take
+            times = min(int(left[x]) // n for x, n in each.items())
+            for x, n in each.items():
+                left[x] -= n * times
+            out.append((tuple(sorted(each.items(), reverse=True)), times))
+        return out
 
     @staticmethod
     def _put(open_, rooms, room, contents, times) -> None:
@@ -207,7 +235,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # At most one slot per length and group, and the groups grow with the number of lengths only.
     held = spark.sparkContext.broadcast({k: np.array([getattr(s, k) for s in slots], dtype=np.int64) for k in ("length", "lo", "each", "sequence", "offset")})
 
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")
+    parts = max(LEAST_PARTS, -(-max(counts.values(), default=0) // PART_PIECES))
+    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
     short = short.withColumn("_part", part)
     by_part = short.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = by_part.select("length", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -242,4 +271,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of documents.
+
+    A null or empty text is one piece of the end id; rows that share a doc_id, or have none, give their pieces each; texts of any length
+    are whole; of pieces of one length any may take any of their places; an empty table gives no rows; other columns are not read.
+    """
     return pack(table(spark, sf_dir, "documents"))
