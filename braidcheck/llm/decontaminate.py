@@ -9,6 +9,7 @@ by WAND over the posting lists. What it finds is verified by word overlap of que
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_or_null, identified, lean, shared_dir, table, written
 
 K1, B = 1.2, 0.75
 #: The least score of a passage for an item, as a share of the item's own.
@@ -31,8 +32,8 @@ OVERLAP = 0.75
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 32_000_000
 #: Words of passages that are searched together.
 SLAB = 200_000
-#: Cells up to which an index's greatest weights by word and block are a full table.
-DENSE = 4_000_000
+#: Cells up to which an index's greatest weights by word and block are a full table, and cells of sums that are held at once.
+DENSE, SUMS = 4_000_000, 4_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -53,6 +54,23 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return own[:cut], own[cut:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs to know of the whole benchmark, whatever part of it is searched: items, their mean number of words, and items by word."""
+
+    items: int
+    mean: float
+    holding: dict[bytes, int]
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> Statistics:
+        bags = [w for _, text in items if (w := words_of(text))]
+        holding: Counter = Counter()
+        for words in bags:
+            holding.update(set(words))
+        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), dict(holding))
+
+
 @dataclass
 class Index:
     """Items in the order of their ids, and for each word its postings (item, weight) in that order."""
@@ -66,10 +84,12 @@ class Index:
     parts: dict[tuple[int, int], tuple[list[int], list[float], float]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> Index:
+    def of(cls, items: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+        """whole: statistics of all items, of which these may be a part."""
         out = cls()
+        whole = Statistics.of(items) if whole is None else whole
         bags = []
-        for item, text in sorted(items):
+        for item, text in sorted(items, key=lambda x: (x[0] is not None, x)):
             words = words_of(text)
             if words:
                 out.ids.append(item)
@@ -78,20 +98,19 @@ class Index:
                 out.longest = max(out.longest, len(words))
         if not bags:
             return out
-        mean = sum(map(len, bags)) / len(bags)
         found: list[list[tuple[int, int]]] = []
         for i, words in enumerate(bags):
-            for w in dict.fromkeys(words):
+            for w, n in Counter(words).items():
                 t = out.vocabulary.setdefault(w, len(found))
                 if t == len(found):
                     found.append([])
-                found[t].append((i, words.count(w)))
+                found[t].append((i, n))
         own = np.zeros(len(bags))
-        for some in found:
+        for word, some in zip(out.vocabulary, found):
             items_, tf = np.array([x[0] for x in some]), np.array([x[1] for x in some], dtype=float)
-            idf = np.log1p((len(bags) - len(some) + 0.5) / (len(some) + 0.5))
+            idf = np.log1p((whole.items - whole.holding[word] + 0.5) / (whole.holding[word] + 0.5))
             size = np.array([len(bags[i]) for i in items_])
-            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / whole.mean))
             np.add.at(own, items_, weight)
             out.postings.append((items_, weight))
         out.postings = [(i, w / own[i]) for i, w in out.postings]
@@ -171,15 +190,21 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
 LEAKS = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    state: list = []
+#: The index that a worker process holds, by the broadcast that it was made from; one at a time.
+_held: dict[int, tuple] = {}
 
+
+def _search(docs: DataFrame, items: list[tuple[int, str]], whole: Statistics) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast((items, whole))
+    key = hash((docs.sparkSession.sparkContext.applicationId, held._jbroadcast.id()))
+
+    @lean
     def run(batches):
-        if not state:
-            index = Index.of(held.value)
-            state.append((index, index.blocks() if index.ids else None))
-        index, table_ = state[0]
+        if key not in _held:
+            index = Index.of(*held.value)
+            _held.clear()
+            _held[key] = (index, index.blocks() if index.ids else None)
+        index, table_ = _held[key]
         for pdf in batches:
             rows: dict[tuple[int, int], tuple] = {}
             if index.ids:
@@ -191,7 +216,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                         size, first = 0, k + 1
             yield pd.DataFrame(list(rows.values()), columns=["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, LEAKS)
+    return identified(docs).mapInPandas(run, LEAKS).withColumn("doc_id", id_or_null())
 
 
 def _bounds(index: Index, blocks, stretch: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
@@ -233,11 +258,19 @@ def _passages(index: Index, blocks, doc_ids, texts, base, rows) -> None:
     if not terms:
         return
     stretch, term = np.divmod(np.unique(np.concatenate(place) * len(index.postings) + np.concatenate(terms)), len(index.postings))
-    bound = _bounds(index, blocks, stretch, term, len(starts))
-    # A word of both stretches counts twice here, which keeps it a bound.
     more = np.array(follows)
-    bound[:-1] += np.where(more[:-1, None], bound[1:], 0)
-    for p in np.flatnonzero((bound >= THRESHOLD - 1e-4).any(axis=1)).tolist():
+    # Some stretches at a time, each slab with the one after it.
+    n_blocks = -(-len(index.ids) // BLOCK)
+    each = max(1, SUMS // n_blocks)
+    found: list[int] = []
+    for at in range(0, len(starts), each):
+        end = min(len(starts), at + each + 1)
+        lo, hi = np.searchsorted(stretch, [at, end])
+        bound = _bounds(index, blocks, stretch[lo:hi] - at, term[lo:hi], end - at)
+        # A word of both stretches counts twice here, which keeps it a bound.
+        bound[:-1] += np.where(more[at : end - 1, None], bound[1:], 0)
+        found += (at + np.flatnonzero((bound[:each] >= THRESHOLD - 1e-4).any(axis=1))).tolist()
+    for p in found:
         d, start = starts[p]
         if not more[p] and start:
             continue  # the last stretch of a longer text belongs to the passage before
@@ -256,25 +289,60 @@ def _passages(index: Index, blocks, doc_ids, texts, base, rows) -> None:
                     rows[base + d, item] = got
 
 
+def statistics(items: DataFrame) -> DataFrame:
+    """(word, n): the items that hold each word, summed up over all of items (item_id, text); under the empty word all items that have words, and under a blank the words that they have."""
+
+    def run(batches):
+        for pdf in batches:
+            n: Counter = Counter()
+            for text in pdf["text"].tolist():
+                words = words_of(text)
+                if words:
+                    n.update(set(words))
+                    n[b""] += 1
+                    n[b" "] += len(words)
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    return items.mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _turn_words(items: list[tuple[int, str]]) -> list[tuple[bytearray]]:
+    return [(bytearray(w),) for w in {w for _, text in items for w in words_of(text)} | {b"", b" "}]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds, with the best passage (its first word's place) and scores.
 
-    Null and empty texts on either side give none; a repeated document gives its rows again; of
+    Null and empty texts on either side give none; a repeated document gives its rows again, and a null doc_id stays null; of
     benchmark rows with the same id and text one counts. A benchmark beyond the bounds is searched in
-    turns of bounded size, each over all documents.
+    turns of bounded size, each over all documents and with the statistics of the whole benchmark, so the turns change no score. Of passages
+    with equal scores the first counts. Other columns of either table are not read.
     """
+    spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
     turns = max(1, -(-size["n"] // ITEMS_AT_ONCE), -(-(size["chars"] or 0) // CHARS_AT_ONCE))
-    if turns > 1:
-        turns *= 2  # a hash deals unevenly
+    if turns == 1:
+        some = _rows(items)
+        return _search(docs, some, Statistics.of(some))
+    turns *= 2  # a hash deals unevenly
+    by_word = written(statistics(items), shared_dir(spark), "words")
     found = None
     for turn in range(turns):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn) if turns > 1 else items
-        new = _search(docs, [(r["item_id"], r["text"]) for r in some.collect()])
+        some = _rows(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn))
+        words = spark.createDataFrame(_turn_words(some), "word binary")
+        holding = {bytes(r["word"]): r["n"] for r in by_word.join(words, "word", "left_semi").collect()}
+        n = holding.pop(b"", 0)
+        new = _search(docs, some, Statistics(n, holding.pop(b" ", 0) / max(1, n), holding))
         found = new if found is None else found.union(new)
     return found
 
 
+def _rows(items: DataFrame) -> list[tuple[int, str]]:
+    """Items as a list, those without item_id first."""
+    return sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda x: (x[0] is not None, x))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds: doc_id, item_id, passage_start, score, question_overlap, answer_overlap. See leaks for nulls, repeats and ties."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
