@@ -120,42 +120,60 @@ def message_levels(rows: DataFrame, folder: str) -> DataFrame:
     return topological_levels(nodes, edges, folder).select(parts[1].alias("call_id"), parts[0].alias("role"), "level")
 
 
-def chat_records(conversations: DataFrame) -> DataFrame:
+def chat_records(conversations: DataFrame, schemas=None) -> DataFrame:
     """One row per message of conversations (conv_id, turn, role, text), in canonical JSON, with calls and results linked.
 
-    A user's message is a call of `reply`; the messages of the assistant after it are its results, of
-    which the first answers it. Columns: conv_id, turn, role, call_id, link_turn (of a call its
-    answer's turn, of a result its call's), level (of the dependency graph; null on and after a cycle), valid (false if the
-    arguments of a call do not fit, or a result answers nothing), json. Order a conversation by
-    turn and level. Null texts and roles are JSON nulls; a call with a null text is not valid. A repeated
-    row comes back as often. Rows without conv_id or turn link with nothing.
-
-    A column depends_on (array of call_ids), if there is one, names the calls whose results a user's message needs;
-    without it no call depends on another's result. A result that has no call comes after one that is not there,
-    at level 1; messages that are neither are at level 0.
+    A user's message is a call and an assistant's a result. Optional columns tell more of them: call_id, the identifier by which a
+    call and its results meet; name, the function called; arguments, a JSON text; depends_on (array of call_ids), the calls whose results
+    a call needs. Where there is no call_id column, a user's message is a call of `reply` with the text and the turn as its
+    arguments, and the messages of the assistant after it are its results.
+
+    Columns: conv_id, turn, role, call_id, link_turn (of a call its answer's turn, of a result its call's), level (of the
+    dependency graph; null on and after a cycle), valid (false if the arguments of a call are no JSON or do not fit the schema of its
+    function, or a result answers nothing), json. Order a conversation by turn and level. Of calls that share an identifier the first by
+    turn is answered, by the first later result. Null texts and roles are JSON nulls; a call whose required argument is null is not valid;
+    arguments that are no JSON are written as a JSON text. A repeated row comes back as often. Rows without conv_id or turn
+    link with nothing. Identifiers hold within a conversation. A result that has no call comes after one that is not there, at
+    level 1; messages that are neither are at level 0. An empty table gives no rows; other columns are not read.
     """
     folder = shared_dir(conversations.sparkSession)
-    needs = F.col("depends_on") if "depends_on" in conversations.columns else F.lit(None)
-    rows = conversations.select(needs.cast("array<string>").alias("depends_on"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    whole = rows.where("conv_id is not null and turn is not null")
-    asked = with_running(whole, F.when(F.col("role") == "user", F.col("turn")), "asked")
-    call_id = F.when(F.col("role").isin("user", "assistant") & F.col("asked").isNotNull(), F.concat_ws("-", "conv_id", "asked"))
-    rows = asked.withColumn("call_id", call_id).drop("asked").unionByName(rows.where("conv_id is null or turn is null").withColumn("call_id", F.lit(None).cast("string")))
+    own = "call_id" in conversations.columns
+    given = lambda name, kind: (F.col(name) if name in conversations.columns else F.lit(None)).cast(kind).alias(name)
+    rows = conversations.select(
+        *[F.col(c).cast(kind).alias(c) for c, kind in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))],
+        given("call_id", "string"), given("name", "string"), given("arguments", "string"), given("depends_on", "array<string>"),
+    )
+    whole, odd = rows.where("conv_id is not null and turn is not null"), rows.where("conv_id is null or turn is null").withColumn("call_id", F.lit(None).cast("string"))
+    linked = F.col("role").isin("user", "assistant")
+    keep = {"ignoreNullFields": "false"}
+    if own:
+        whole = whole.withColumn("call_id", F.when(linked, F.col("call_id")))
+        # An identifier holds within its conversation; others' results may have the same.
+        key = lambda x: F.concat_ws("-", "conv_id", x)
+        rows = whole.withColumns({"node": F.when(F.col("call_id").isNotNull(), key(F.col("call_id"))), "depends_on": F.transform("depends_on", lambda x: F.when(x.isNotNull(), key(x)))})
+    else:
+        whole = with_running(whole, F.when(F.col("role") == "user", F.col("turn")), "asked")
+        whole = whole.withColumn("call_id", F.when(linked & F.col("asked").isNotNull(), F.concat_ws("-", "conv_id", "asked"))).drop("asked")
+        rows = whole.withColumn("node", F.col("call_id"))
+    rows = rows.unionByName(odd.withColumn("node", F.lit(None).cast("string")))
+    if not own:
+        made = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), keep)
+        rows = rows.withColumns({"name": F.when(F.col("role") == "user", F.lit("reply")), "arguments": F.when(F.col("role") == "user", made)})
     rows = written(rows, folder, "rows")
-    levels = message_levels(rows, folder).withColumnRenamed("level", "found")
+    levels = message_levels(rows.select(F.col("node").alias("call_id"), "role", "depends_on"), folder).select(F.col("call_id").alias("node"), "role", F.col("level").alias("found"))
     alone = F.when(F.col("role") == "assistant", 1).otherwise(0)
-    rows = rows.drop("depends_on").join(levels, ["call_id", "role"], "left").withColumn("level", F.when(F.col("call_id").isNull(), alone).otherwise(F.col("found"))).drop("found")
+    rows = rows.drop("depends_on").join(levels, ["node", "role"], "left").withColumn("level", F.when(F.col("node").isNull(), alone).otherwise(F.col("found"))).drop("found", "node")
 
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
-    calls = rows.where("role = 'user'").withColumn("arguments", canonical(arguments))
+    calls = rows.where("role = 'user'")
     results = rows.where("role = 'assistant'")
     others = rows.where("role is null or role not in ('user', 'assistant')")
     calls, results = link(calls, results)
-    keep = {"ignoreNullFields": "false"}
 
-    calls = calls.withColumn("faults", argument_faults(F.lit("reply"), F.col("arguments"))).select(
+    told = F.coalesce(canonical(F.col("arguments")), F.substring(F.to_json(F.struct(F.col("arguments").alias("a")), keep), F.lit(6), F.length(F.to_json(F.struct(F.col("arguments").alias("a")), keep)) - 6))
+    rest = F.to_json(F.struct(F.col("call_id").alias("id"), "name", "role"), keep)
+    calls = calls.withColumn("faults", argument_faults(F.col("name"), F.col("arguments"), schemas)).select(
         "conv_id", "turn", "role", "call_id", F.col("result_turn").alias("link_turn"), "level", (F.size("faults") == 0).alias("valid"),
-        F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), F.coalesce(F.concat(F.lit('"'), "call_id", F.lit('"')), F.lit("null")), F.lit(',"name":"reply","role":"user"}')).alias("json"),
+        F.concat(F.lit('{"arguments":'), told, F.lit(","), F.substring(rest, F.lit(2), F.length(rest))).alias("json"),
     )
     results = results.select(
         "conv_id", "turn", "role", "call_id", F.col("call_turn").alias("link_turn"), "level", F.col("answers").alias("valid"),
@@ -169,6 +187,7 @@ def chat_records(conversations: DataFrame) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of conversations, see chat_records: nulls, repeats, ties and empty tables are as told there; texts of any length are whole."""
     return chat_records(table(spark, sf_dir, "conversations"))
 
 
