@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="braidcheck-")
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/braid-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/braid-{uuid.uuid4().hex[:12]}"
+    for made in _scratch:
+        made.append(path)
+    return path
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that shared_dir names within are deleted at the end; what was made from them must be written by then."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            discard(spark, path)
 
 
 def identified(docs: DataFrame, *more: str) -> DataFrame:
@@ -97,8 +117,8 @@ def lean(run):
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id written as text, modulo folds."""
-    return F.crc32(doc_id.cast("string")) % folds
+    """crc32 of the id written as text, modulo folds; a null id is an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
 def ascii_lower(text: Column) -> Column:

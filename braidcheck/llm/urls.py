@@ -9,10 +9,12 @@ URLs. The labels are the rules' own verdicts. Built-in column expressions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, table, written
+from .common import ascii_lower, discard, shared_dir, table, written
 
 #: (host, path, verdict). A rule fits its host and all subdomains, and paths that begin with its path.
 RULES = [
@@ -22,8 +24,6 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Levels of the tree; segments below are one wildcard together.
-DEPTH = 6
 #: A node with more children than this has its rare ones, of at most RARE URLs each, made a wildcard.
 MANY, RARE = 8, 2
 #: Siblings stay apart if their share of blocked differs from the pool's by more than so many standard errors.
@@ -62,13 +62,23 @@ def looks_variable(segment: Column) -> Column:
     return segment.rlike("\\A(?:[0-9][0-9._:-]*|[0-9a-fA-F-]{16,}|[^.]*[0-9]{3,}[^.]*)(?:\\.[A-Za-z0-9]{1,5})?\\z")
 
 
-def _level(paths: DataFrame, depth: int) -> DataFrame:
-    """paths (host, template, segments, n, allow, block) with the templates a segment longer."""
+def _step(segment: Column, other: Column | None = None) -> Column:
+    """A segment's place in a template: a wildcard if it looks variable, or for another reason."""
+    wild = looks_variable(segment) if other is None else looks_variable(segment) | other
+    return F.when(wild, F.lit(WILD)).otherwise(segment)
+
+
+def _level(paths: DataFrame, depth: int, folder: str) -> DataFrame:
+    """paths (host, template, segments, n, allow, block), all with a segment at depth, with the templates a segment longer.
+
+    `alone` tells of a path that shares its node with no other: its template is whole. Sums by node are
+    written before they are joined, so that a host that a third of all paths have is split among tasks.
+    """
     segment = F.get("segments", F.lit(depth))
-    kids = paths.withColumn("segment", segment).where("segment is not null")
-    kids = kids.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
-    node = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
-    kids = kids.join(node, ["host", "template"])
+    kids = paths.withColumn("segment", segment)
+    kids = written(kids.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")], F.count(F.lit(1)).alias("paths")), folder, f"kids{depth}")
+    node = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"), F.sum("paths").alias("all_paths"))
+    kids = kids.join(written(node, folder, f"nodes{depth}"), ["host", "template"])
     rare = (F.col("kids") > MANY) & (F.col("n") <= RARE)
     # The child against all its siblings: two smoothed shares and the error of their difference.
     own, rest = F.col("allow") + F.col("block") + 2, F.col("all_allow") + F.col("all_block") - F.col("allow") - F.col("block") + 2
@@ -76,27 +86,37 @@ def _level(paths: DataFrame, depth: int) -> DataFrame:
     pooled = (F.col("all_block") + 2) / (own + rest)
     alike = F.abs(share - other) <= APART * F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / rest))
     told = (own >= EVIDENCE + 2) & (rest >= EVIDENCE + 2)
-    kids = kids.select("host", "template", "segment", F.when(looks_variable(F.col("segment")) | rare | (alike & told), F.lit(WILD)).otherwise(F.col("segment")).alias("step"))
-    stepped = paths.withColumn("segment", segment).join(kids, ["host", "template", "segment"], "left")
-    return stepped.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).select(*paths.columns)
+    kids = kids.select("host", "template", "segment", _step(F.col("segment"), rare | (alike & told)).alias("step"), (F.col("all_paths") == 1).alias("alone"))
+    stepped = paths.withColumn("segment", segment).join(written(kids, folder, f"steps{depth}"), ["host", "template", "segment"])
+    # Nothing is left to tell a lone path from: the rest of it goes by the look of its segments.
+    tail = F.transform(F.slice("segments", depth + 1, F.greatest(F.lit(0), F.size("segments") - depth)), lambda x: _step(x))
+    longer = F.when(F.col("alone"), F.concat_ws("/", F.array("template"), tail)).otherwise(F.concat("template", F.lit("/"), "step"))
+    return stepped.withColumn("template", longer).select(*paths.columns, "alone")
 
 
-def templates(urls: DataFrame, folder: str, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, folder: str) -> DataFrame:
     """(host, segments, template, block_share) for each host and list of segments in urls (host, path, label).
 
     label is allow, block or null. An empty path is the template of no segments. Counts are summed up
-    before anything is shuffled; a table is written for each level.
+    before anything is shuffled. A level of the tree takes a few jobs and a written table, down to the last node that two paths share.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = urls.withColumn("segments", segments).groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "allow").alias("allow"), F.count_if(F.col("label") == "block").alias("block")
     )
-    paths = written(paths.select("host", F.lit("").alias("template"), "segments", "n", "allow", "block"), folder, "level0")
-    deepest = min(depth, paths.agg(F.max(F.size("segments")).alias("n")).first()["n"] or 0)
-    for k in range(deepest):
-        paths = written(_level(paths, k), folder, f"level{k + 1}")
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit("/" + 2 * WILD))).otherwise(F.col("template"))
-    paths = paths.withColumn("template", tail)
+    live = written(paths.select("host", F.lit("").alias("template"), "segments", "n", "allow", "block"), folder, "level0")
+    whole, depth = [], 0
+    while True:
+        whole.append(live.where(F.size("segments") <= depth))
+        more = live.where(F.size("segments") > depth)
+        if more.isEmpty():
+            break
+        stepped = written(_level(more, depth, folder), folder, f"level{depth + 1}")
+        for name in ("kids", "nodes", "steps"):
+            discard(urls.sparkSession, f"{folder}/{name}{depth}")
+        whole.append(stepped.where("alone").drop("alone"))
+        live, depth = stepped.where("not alone").drop("alone"), depth + 1
+    paths = reduce(DataFrame.union, whole)
 
     def share(prior: Column) -> Column:
         return (F.col("block") + PRIOR * prior) / (F.col("allow") + F.col("block") + PRIOR)
@@ -104,9 +124,10 @@ def templates(urls: DataFrame, folder: str, depth: int = DEPTH) -> DataFrame:
     sums = [F.sum("allow").alias("allow"), F.sum("block").alias("block")]
     everywhere = paths.agg(*sums).select(share(F.lit(0.5)).alias("all_share")).first()["all_share"]
     everywhere = 0.5 if everywhere is None else everywhere
-    by_template = paths.groupBy("template").agg(*sums).select("template", share(F.lit(everywhere)).alias("template_share"))
-    by_host = paths.groupBy("host", "template").agg(*sums).join(by_template, "template").select("host", "template", share(F.col("template_share")).alias("block_share"))
-    return paths.select("host", "segments", "template").join(by_host, ["host", "template"])
+    by_host = written(paths.groupBy("host", "template").agg(*sums), folder, "by_host")
+    by_template = written(by_host.groupBy("template").agg(*sums).select("template", share(F.lit(everywhere)).alias("template_share")), folder, "by_template")
+    shares = written(by_host.join(by_template, "template").select("host", "template", share(F.col("template_share")).alias("block_share")), folder, "shares")
+    return paths.select("host", "segments", "template").join(shares, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules=None) -> DataFrame:
@@ -128,4 +149,5 @@ def judge(pages: DataFrame, rules=None) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, block_share of every row of pages; see judge for nulls, repeats and empty tables. Of rules that fit the longest holds, of as long ones the greater text."""
     return judge(table(spark, sf_dir, "pages"))
