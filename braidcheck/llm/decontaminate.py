@@ -56,10 +56,11 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 @dataclass(frozen=True)
 class Statistics:
-    """What BM25 needs to know of the whole benchmark, whatever part of it is searched: items, their mean number of words, and items by word."""
+    """What the search needs to know of the whole benchmark, whatever part of it is searched: items, the mean and the greatest number of their words, and items by word."""
 
     items: int
     mean: float
+    longest: int
     holding: dict[bytes, int]
 
     @classmethod
@@ -68,7 +69,7 @@ class Statistics:
         holding: Counter = Counter()
         for words in bags:
             holding.update(set(words))
-        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), dict(holding))
+        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=0), dict(holding))
 
 
 @dataclass
@@ -86,8 +87,8 @@ class Index:
     @classmethod
     def of(cls, items: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
         """whole: statistics of all items, of which these may be a part."""
-        out = cls()
         whole = Statistics.of(items) if whole is None else whole
+        out = cls(longest=whole.longest)
         bags = []
         for item, text in sorted(items, key=lambda x: (x[0] is not None, x)):
             words = words_of(text)
@@ -95,7 +96,6 @@ class Index:
                 out.ids.append(item)
                 out.texts.append(question_and_answer(text))
                 bags.append(words)
-                out.longest = max(out.longest, len(words))
         if not bags:
             return out
         found: list[list[tuple[int, int]]] = []
@@ -290,24 +290,27 @@ def _passages(index: Index, blocks, doc_ids, texts, base, rows) -> None:
 
 
 def statistics(items: DataFrame) -> DataFrame:
-    """(word, n): the items that hold each word, summed up over all of items (item_id, text); under the empty word all items that have words, and under a blank the words that they have."""
+    """(word, n): the items that hold each word, summed up over all of items (item_id, text); under the empty word all items that have words, under a blank the words that they have, and under two the most that one has (most)."""
 
     def run(batches):
         for pdf in batches:
             n: Counter = Counter()
+            longest = 0
             for text in pdf["text"].tolist():
                 words = words_of(text)
                 if words:
                     n.update(set(words))
                     n[b""] += 1
                     n[b" "] += len(words)
+                    longest = max(longest, len(words))
+            n[b"  "] = longest
             yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
-    return items.mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return items.mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
 
 
 def _turn_words(items: list[tuple[int, str]]) -> list[tuple[bytearray]]:
-    return [(bytearray(w),) for w in {w for _, text in items for w in words_of(text)} | {b"", b" "}]
+    return [(bytearray(w),) for w in {w for _, text in items for w in words_of(text)} | {b"", b" ", b"  "}]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -331,9 +334,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for turn in range(turns):
         some = _rows(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn))
         words = spark.createDataFrame(_turn_words(some), "word binary")
-        holding = {bytes(r["word"]): r["n"] for r in by_word.join(words, "word", "left_semi").collect()}
+        told = by_word.join(words, "word", "left_semi").collect()
+        holding = {bytes(r["word"]): r["n"] for r in told}
+        longest = max((r["most"] for r in told if r["word"] == b"  "), default=0)
         n = holding.pop(b"", 0)
-        new = _search(docs, some, Statistics(n, holding.pop(b" ", 0) / max(1, n), holding))
+        new = _search(docs, some, Statistics(n, holding.pop(b" ", 0) / max(1, n), longest, holding))
         found = new if found is None else found.union(new)
     return found
 
