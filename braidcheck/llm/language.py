@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, table
+from .common import crc_fold, id_or_null, identified, lean, table
 from .hashing import mix
 
 #: Places that bigrams and trigrams of letters are hashed to.
@@ -23,6 +24,8 @@ REJECT_SHARE, REJECT_SLACK = 0.002, 0.1
 #: Texts that tell the radius of a length; where the sample has fewer, beginnings of so many longer ones help, in equal parts of the languages.
 ENOUGH, BEGINNINGS = 100, 400
 BINS = 16
+#: Languages whose sizes are broadcast at most; beyond, they are joined.
+MOST_BROADCAST = 10_000
 UNDETERMINED = "und"
 ROUNDS = 12
 
@@ -140,6 +143,7 @@ def fit(labelled: DataFrame) -> Model:
     """
     labelled = labelled.where("lang is not null")
 
+    @lean
     def frequencies(batches):
         df, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
         for pdf in batches:
@@ -162,10 +166,9 @@ def fit(labelled: DataFrame) -> Model:
         return empty
     each = max(1, min(SAMPLE, SAMPLE_ALL // len(languages)))
     # A share that brings about twice as many, then the first by hash: the exact choice sorts a bounded number of rows.
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * each / n + 20.0 / n))).otherwise(share)
-    drawn = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id", "lang").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    share = F.least(F.lit(1.0), (2.0 * each + 20.0) / F.col("of"))
+    by_language = labelled.sparkSession.createDataFrame(list(sizes.items()), "lang string, of long")
+    drawn = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id", "lang").alias("h")).join(F.broadcast(by_language) if len(sizes) <= MOST_BROADCAST else by_language, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= each)
 
     def counted(batches):
@@ -209,9 +212,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is looked at. lang_pred is `und` with score 0 where the text is null or has
     no letter, or where nothing was learned; those are rejected, as is a text whose nearest centroid
-    is farther than nearly all texts of its length in the sample were from theirs.
+    is farther than nearly all texts of its length in the sample were from theirs. Rows that repeat are told alike; a null doc_id stays null.
     """
 
+    @lean
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 256):
@@ -219,10 +223,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 found = model.predict(some["text"].tolist())
                 yield pd.DataFrame({"doc_id": some["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[2] for x in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return identified(docs).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean").withColumn("doc_id", id_or_null())
+
+
+def identified_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs (with a column text) that identify would not reject, with all their columns; nothing is shuffled."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch.column("text").to_pylist(), []
+            for at in range(0, len(texts), 256):
+                keep += [not rejected for _, _, rejected in model.predict(texts[at : at + 256])]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every row of documents. Of languages as near the first by name counts; see identify for nulls and repeats; texts are whole; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
-    return identify(docs, model).withColumn("held_out", crc_fold(F.col("doc_id"), 4) == 2)
+    return identify(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
