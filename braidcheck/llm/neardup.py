@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import NO_ID, discard, id_or_null, identified, lean, shared_dir, table, written
 from .components import connected_components
 from .hashing import mix, shingle_hashes, text_bytes, word_hashes
 
@@ -83,6 +83,7 @@ def fine_bits(sets: list[np.ndarray]) -> np.ndarray:
 def with_fine_bits(pool: DataFrame) -> DataFrame:
     """(id, fine) of pool (id, text); all have shingles."""
 
+    @lean
     def run(batches):
         for pdf in batches:
             sets = ((d, shingle_set(t)) for d, t in zip(pdf["id"].tolist(), pdf["text"].tolist()))
@@ -107,6 +108,7 @@ def _slabs(items, size):
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per document; without words n_shingles is 0 and the rest is of no use."""
 
+    @lean
     def run(batches):
         for pdf in batches:
             sets = ((d, shingle_set(t)) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()))
@@ -131,18 +133,20 @@ def likely(a: str, b: str):
     return F.expr(f"{size} and {BANDS * ROWS} - ({same}) >= {LEAST_BITS}")
 
 
-def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, pool: DataFrame, folder: str) -> DataFrame:
     """Those of the distinct pairs (u, v) whose whole sets are similar enough.
 
     pool has the texts (id, text). The partners of a u meet in tasks of about CHUNK each, to
     each of which the text of u is sent ahead of theirs; a task holds one text of a u at a time.
     """
     parts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    parts = written(parts, folder, "parts")  # so that the join can split a u with very many partners
     met = pairs.withColumnRenamed("u", "first").join(parts.withColumnRenamed("u", "first"), "first")
     right = met.select(F.col("first").alias("u"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("id"))
     left = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("id"))
     rows = left.union(right).join(pool, "id").select("u", "part", (F.col("u") != F.col("id")).alias("other"), "id", "text")
 
+    @lean
     def run(batches):
         now, held = None, None
         for pdf in batches:
@@ -193,6 +197,7 @@ def rest_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
             v += np.maximum(found, q_id[i]).tolist()
         return pd.DataFrame({"u": u, "v": v}, dtype="int64").drop_duplicates()
 
+    @lean
     def run(batches):
         now, held = None, ([], [])
         for pdf in batches:
@@ -228,15 +233,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null and empty texts, and texts of white space alone, have no shingles and are kept. Rows
-    that repeat a doc_id are one document and come back as often. An empty table gives no rows.
-    Other columns are not read, whatever their names.
+    that repeat a doc_id are one document and come back as often. Rows without doc_id are linked with nothing, have no
+    component_id and are kept. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = identified(docs)
     base = written(sketches(docs), folder, "sketches")
-    classes = written(base.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id")), folder, "classes")
-    firsts = base.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "bits").join(classes.select("id").distinct(), "id", "left_semi")
+    full = base.where((F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID))
+    classes = written(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id")), folder, "classes")
+    firsts = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "bits").join(classes.select("id").distinct(), "id", "left_semi")
 
     bands = firsts.select("id", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
@@ -248,7 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = members.where("id <> hub").select("hub", "id").distinct()
     pairs = pairs.join(sketch.select(F.col("id").alias("hub"), F.struct("n", "bits").alias("a")), "hub").join(sketch.select("id", F.struct("n", "bits").alias("b")), "id").where(likely("a", "b")).select(F.col("hub").alias("u"), F.col("id").alias("v"))
-    links = written(verified(written(pairs, folder, "pairs"), pool), folder, "links")
+    links = written(verified(written(pairs, folder, "pairs"), pool, f"{folder}/first"), folder, "links")
     part = joined(asked.withColumn("component", F.col("id")), links, f"{folder}/first")
     named = members.select("key", "id").join(part, "id")
     # Only buckets that are still apart need the sharper sketches, and only of their members.
@@ -258,14 +264,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = firsts.select("id", "bands").dropDuplicates(["id"])
     fine = fine.join(sketch.select("id", "n"), "id").join(keys, "id").select("id", "n", F.concat("fine", "bands").alias("fine"))
     fine = written(fine, folder, "fine")
-    more = written(verified(written(rest_pairs(named, fine), folder, "rest"), pool), folder, "more")
+    more = written(verified(written(rest_pairs(named, fine), folder, "rest"), pool, f"{folder}/second"), folder, "more")
     part = joined(part, more, f"{folder}/second")
 
     found = classes.join(part, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
+    for name in ("members", "pool", "asked", "pairs", "links", "apart", "fine", "rest", "more"):
+        discard(spark, f"{folder}/{name}")
     keyed = base.withColumn("fp1", F.when(F.col("n_shingles") > 0, F.col("fp1")).otherwise(F.col("doc_id")))
     out = keyed.select("doc_id", "n_shingles", "fp1", "fp2").join(found.withColumn("full", F.lit(True)), ["fp1", "fp2"], "left")
-    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("full"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id") == NO_ID, None).when((F.col("n_shingles") > 0) & F.col("full"), F.col("component")).otherwise(F.col("doc_id"))
+    out = out.select(id_or_null(), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of documents; see near_duplicates for nulls, repeats and empty tables. Texts of any length are whole."""
     return near_duplicates(table(spark, sf_dir, "documents"))
