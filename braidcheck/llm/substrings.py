@@ -316,8 +316,9 @@ def _counted_groups(around: DataFrame, folder: str, unit: Unit) -> DataFrame:
 
         source = held.withColumns({"lo": F.lit(0), "hi": F.lit(unit.back)}) if blocks is None else held.join(blocks, ["gram", "class"])
         rows = written(source.mapInPandas(run, "gram long, class long, n long, lo int, hi int, core long, full long, whole boolean"), folder, f"blocks{level}")
-        cores = rows.groupBy("gram", "lo", "core").agg(F.sum("n").alias("cores")).where("cores > 1")
-        fulls = rows.where("whole").groupBy("gram", "lo", "full").agg(F.sum("n").alias("fulls")).where("fulls > 1")
+        # Written before they are joined, so that a string that very many classes share is split among tasks.
+        cores = written(rows.groupBy("gram", "lo", "core").agg(F.sum("n").alias("cores")).where("cores > 1"), folder, f"cores{level}")
+        fulls = written(rows.where("whole").groupBy("gram", "lo", "full").agg(F.sum("n").alias("fulls")).where("fulls > 1"), folder, f"fulls{level}")
         judged = rows.join(cores, ["gram", "lo", "core"]).join(fulls, ["gram", "lo", "full"], "left")
         judged = written(judged.select("gram", "class", "lo", "hi", "core", "full", (F.col("whole") & F.col("fulls").isNotNull()).alias("sure")), folder, f"judged{level}")
         new = judged.where("sure").select("gram", "class", F.col("hi").alias("back"), (unit.length - F.col("lo")).cast("int").alias("ahead"))
@@ -357,7 +358,7 @@ def repeated_spans(docs: DataFrame, folder: str, unit: Unit = BYTES) -> DataFram
     # At most unit.back + 1 of a class, one a depth to the left.
     stretches = found.union(alike).groupBy("gram", "class").agg(F.collect_set(F.struct("back", "ahead")).alias("stretches"))
     stretches = written(stretches, folder, "stretches")
-    for name in ("around", "counted", "hot", *(f"{x}{k}" for x in ("blocks", "judged") for k in range(len(STEPS)))):
+    for name in ("around", "counted", "hot", *(f"{x}{k}" for x in ("blocks", "cores", "fulls", "judged") for k in range(len(STEPS)))):
         discard(spark, f"{folder}/{name}")
 
     spans = real.join(stretches, ["gram", "class"]).select("doc_id", "pos", F.explode("stretches").alias("x")).select("doc_id", (F.col("pos") - F.col("x.back")).alias("b"), (F.col("pos") + F.col("x.ahead")).alias("e"))
