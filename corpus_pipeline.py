@@ -1,6 +1,6 @@
 """A corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps, in the columns of documents;
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, in the columns of documents (null texts and ids, repeated rows and other columns are as told there);
 the last returns the pieces of the packed sequences. A stage's result is written as Parquet and read
 again as the next one's documents. Near duplicates are documents that share at least 0.75 of their five-word shingles.
 """
@@ -21,19 +21,26 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in (f.split(" ") for f in DOCUMENTS.split(", "))])
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """docs with `_own`, the doc_id or, where there is none, a hash of the text, by which a stage's decisions find their documents."""
+    return docs.withColumn("_own", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")))
+
+
+def _by_own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_own").alias("doc_id"), "text")
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter, or far from all languages for their length, go. Learned from all labelled documents."""
     docs = _documents(docs)
-    model = language.fit(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs, model).where("not rejected").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return language.identified_only(docs, language.fit(docs.select("doc_id", "text", "lang")))
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates; rows that repeat an id come through once."""
-    docs = _documents(docs)
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document of the least id of each group of near duplicates; rows that repeat an id come through once. Documents without id count as any others, by a hash of their text."""
+    docs = _own(_documents(docs))
+    kept = neardup.near_duplicates(_by_own(docs)).where("kept").select(F.col("doc_id").alias("_own")).distinct()
+    return docs.join(kept, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +52,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     docs = _documents(docs)
 
+    @common.lean
     def run(batches):
         for pdf in batches:
             texts, keep = [], []
@@ -59,14 +67,15 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
             yield out.assign(n_chars=sizes)[pd.Series(keep, index=out.index, dtype=bool)]
 
     found = substrings.without_repeats(docs, common.shared_dir(spark), {"words": substrings.WORDS, "spans": substrings.WORDLESS})
-    return found.select(*docs.columns, "spans", "words").mapInPandas(run, DOCUMENTS)
+    found = common.identified(found, "lang", "source", F.lit(0).alias("n_chars"), "spans", "words")
+    return found.mapInPandas(run, DOCUMENTS).withColumn("doc_id", common.id_or_null())
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    docs = _documents(docs)
-    found = decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    docs = _own(_documents(docs))
+    found = decontaminate.leaks(_by_own(docs), common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_own")).distinct()
+    return docs.join(found, "_own", "left_anti").drop("_own")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    folder = common.shared_dir(spark)
+    """All stages, on documents. What a stage has written for itself goes when its result is written, and that when the next one's is."""
+    docs, folder, before = common.table(spark, sf_dir, "documents"), common.shared_dir(spark), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), folder, name)
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), folder, name)
+        if before:
+            common.discard(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
