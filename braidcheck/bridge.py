@@ -125,3 +125,21 @@ def walk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("custkey").orderBy("orderkey").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("n") + 2).over(w), F.lit(0))
     return r.select(F.col("orderkey").alias("line_no"), F.concat(F.lit("c"), "custkey", F.lit("#1#chr")).alias("identifier"), start.alias("start"), (start + F.col("n") + F.when(F.col("orderkey") % 7 == 0, 1).otherwise(0)).alias("end"), "orderkey", "graph", "n")
+
+
+def walk_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W traversals in the form that the comparison takes: the walks of walk_records with the steps of their orders."""
+    steps_of = path_traversals(spark, sf_dir).select("line_no", "steps")
+    w = walk_records(spark, sf_dir).select("line_no", "identifier", F.lit("W").alias("record_type"), F.col("start").cast("decimal(21,0)").alias("start"), F.col("end").cast("decimal(21,0)").alias("end"))
+    return w.join(steps_of, "line_no")
+
+
+def walk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(identifier, source_index, sequence) of each customer that has walks: their graphs with two bases after each; of every tenth customer the first base is another."""
+    from .functions.sequences import ordered_concat
+
+    w = walk_records(spark, sf_dir).withColumn("k", F.split(F.substring("identifier", 2, 40), "#")[0].cast("long"))
+    s = w.groupBy("identifier", "k").agg(ordered_concat([F.col("start")], F.concat("graph", F.lit("AA"))).alias("s"))
+    other = F.when(F.substring("s", 1, 1) == "A", "C").otherwise("A")
+    changed = F.when(F.col("k") % 10 == 0, F.concat(other, F.substring(F.col("s"), F.lit(2), F.length("s")))).otherwise(F.col("s"))
+    return s.select("identifier", (F.col("k") % 2 + 1).alias("source_index"), changed.alias("sequence"))

@@ -23,6 +23,10 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return compare.outcomes(B.sources(spark, d), B.path_traversals(spark, d), B.keyed_segments(spark, d))
 
 
+def _walk_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return compare.outcomes(B.walk_sources(spark, d), B.walk_traversals(spark, d), B.keyed_segments(spark, d))
+
+
 def _long(*names: str) -> list:
     return [C(n).cast("long").alias(n) for n in names]
 
@@ -160,7 +164,7 @@ def dup_paths(spark, d):
 
 def path_walk_conflict(spark, d):
     p = B.table(spark, d, "orders").select(F.concat(F.lit("i"), C("o_custkey")).alias("identifier"))
-    w = B.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("i"), C("c_custkey")).alias("identifier"))
+    w = B.table(spark, d, "customer").select(F.concat(F.lit("i"), C("c_custkey")).alias("identifier"))
     return R.path_walk_conflicts(p, w)
 
 
@@ -195,16 +199,32 @@ def _walks(spark, d):
 
 
 def reconstruct_walk(spark, d):
-    w = _walks(spark, d).groupBy("identifier").agg(S.ordered_concat([C("start")], C("graph")).alias("graph"))
-    return w.select("identifier", F.length("graph").cast("long").alias("length"), S.sha256(C("graph")).alias("sha256"))
+    return _walk_outcomes(spark, d).select("identifier", F.length("graph").cast("long").alias("length"), S.sha256(C("graph")).alias("sha256"))
 
 
 def source_range(spark, d):
-    return _walks(spark, d).groupBy("identifier").agg(F.min("start").alias("range_start"), F.max("end").alias("range_end"))
+    return _walk_outcomes(spark, d).select("identifier", C("source_start_0based").alias("range_start"), C("source_end_0based_exclusive").alias("range_end"))
 
 
 def addressed_bases(spark, d):
-    return _walks(spark, d).groupBy("identifier").agg(F.sum(C("end") - C("start")).cast("long").alias("addressed"))
+    return _walk_outcomes(spark, d).select("identifier", C("addressed_source_bases").alias("addressed"))
+
+
+def walk_outcomes(spark, d):
+    return _walk_outcomes(spark, d).select("identifier", "status", "record_type", "divergence_kind", *_long("source_position_1based", "source_length", "graph_length", "range_length", "walk_length"))
+
+
+def walk_addressed_digest(spark, d):
+    return _walk_outcomes(spark, d).select("identifier", S.sha256(C("addressed")).alias("sha256"))
+
+
+def walk_aggregates(spark, d):
+    rows = statistics.aggregates(statistics.add_statistics(_walk_outcomes(spark, d), 1 << 30, 10_000_000))
+    return rows.select(*_long("level", "source_index"), "record_type", "source_sequences", "graph_traversals", "source_bases", "graph_bases", "not_embedded", "identical", "divergent")
+
+
+def records_sorted(spark, d):
+    return compare.ordered_records(B.walk_traversals(spark, d)).select("identifier", *_long("rec", "line_no", "start", "end"))
 
 
 def addressed_digest(spark, d):
@@ -325,7 +345,7 @@ QUERIES = {
         walk_range_bounds, unresolved_segments, step_segment_join, reconstruct_path, reconstruct_walk, source_range, addressed_bases, addressed_digest,
         missing_path, missing_source, full_outcome_status, step_offsets, first_divergence, divergence_kind, range_length_mismatch, edit_distance,
         alignment_limit, memory_limit, base_partition, summary_counts, percentages, aggregate_global_source_type, record_counts, walks_per_identifier,
-        distinct_names, union_sources, outcomes_sorted, chunked_range_join, outcomes_with_digests,
+        walk_outcomes, walk_addressed_digest, walk_aggregates, records_sorted, distinct_names, union_sources, outcomes_sorted, chunked_range_join, outcomes_with_digests,
     )
 }
 
@@ -353,6 +373,12 @@ wk AS (SELECT CAST(o_orderkey AS BIGINT) AS orderkey, concat('c', o_custkey, '#1
   coalesce(sum(length(graph) + 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ FROM orders JOIN gr ON orderkey = o_orderkey),
 w AS (SELECT orderkey, identifier, graph, n, CAST(start_ AS BIGINT) AS start, CAST(start_ + n + CASE WHEN orderkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS "end" FROM wk)
 """
+_WALKS = """
+, ws0 AS (SELECT identifier, CAST(split_part(substr(identifier, 2), '#', 1) AS BIGINT) AS k, string_agg(concat(graph, 'AA'), '' ORDER BY start) AS s0, string_agg(graph, '' ORDER BY start) AS g,
+  min(start + n) FILTER ("end" - start <> n) AS first_off, max(start + n) FILTER ("end" - start <> n) AS last_off, arg_max("end" - start, start) FILTER ("end" - start <> n) AS wanted, arg_max(n, start) FILTER ("end" - start <> n) AS held FROM w GROUP BY 1),
+ws AS (SELECT *, CASE WHEN k % 10 = 0 THEN concat(CASE WHEN substr(s0, 1, 1) = 'A' THEN 'C' ELSE 'A' END, substr(s0, 2)) ELSE s0 END AS s, CASE WHEN k % 10 = 0 THEN 0 ELSE first_off END AS dv FROM ws0),
+wo AS (SELECT *, CASE WHEN dv IS NULL THEN 'IDENTICAL' ELSE 'DIVERGENT' END AS status, CASE WHEN dv IS NULL THEN NULL WHEN dv = last_off THEN 'RANGE_LENGTH' WHEN k % 10 = 0 THEN 'BASE' ELSE 'END' END AS kind FROM ws)
+"""
 _LINES = """
 , pt AS (SELECT orderkey, string_agg(concat(segment, orientation), ',' ORDER BY step_no) AS t FROM st GROUP BY orderkey),
 gl AS (
@@ -384,6 +410,10 @@ def _base(sql: str) -> str:
     return f"WITH {_BASE} {sql}"
 
 
+def _on_walks(sql: str) -> str:
+    return f"WITH {_BASE} {_WALKS} {sql}"
+
+
 def _on_lines(sql: str) -> str:
     return f"WITH {_BASE} {_LINES} {sql}"
 
@@ -421,7 +451,7 @@ ORACLES = {
       (SELECT concat('n', c_nationkey, '-', c_custkey % 50) AS identifier, CAST(c_custkey % 3 AS BIGINT) AS source_index, CAST(c_custkey AS BIGINT) AS record_no FROM customer)) WHERE k > 1""",
     "dup_segments": f"WITH {_NAMED} SELECT line_no, name FROM (SELECT *, max(valid) OVER (PARTITION BY key ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM sn) WHERE seen",
     "dup_paths": "SELECT line_no, identifier FROM (SELECT CAST(o_orderkey AS BIGINT) AS line_no, concat('p', o_custkey) AS identifier, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1",
-    "path_walk_conflict": "SELECT concat('i', o_custkey) AS identifier FROM orders INTERSECT SELECT concat('i', c_custkey) FROM customer WHERE c_custkey % 3 = 0",
+    "path_walk_conflict": "SELECT concat('i', o_custkey) AS identifier FROM orders INTERSECT SELECT concat('i', c_custkey) FROM customer",
     "ambiguous_walk_ranges": f"WITH {_RANGED} SELECT identifier FROM rw GROUP BY 1 HAVING count(*) > 1 AND bool_or(unbounded)",
     "walk_range_overlap": f"""WITH {_RANGED} SELECT identifier, start, "end", previous_end, k FROM (SELECT *, lag("end") OVER o AS previous_end, row_number() OVER o AS k FROM rw WHERE NOT unbounded
       WINDOW o AS (PARTITION BY identifier ORDER BY start, "end", line_no)) WHERE start < previous_end""",
@@ -455,6 +485,16 @@ ORACLES = {
     "record_counts": _on_lines("SELECT (SELECT count(*) FROM fp) AS path_records, (SELECT bool_or(\"overlaps\" = '*') FROM fp) AS starred, (SELECT count(*) FROM fw) AS walk_records"),
     "walks_per_identifier": _base("SELECT identifier, count(*) AS n FROM w GROUP BY 1"),
     "distinct_names": _on_lines("SELECT 'P' AS record_type, count(DISTINCT identifier) AS n FROM fp UNION ALL SELECT 'W', count(DISTINCT identifier) FROM fw"),
+    "walk_outcomes": _on_walks("""SELECT identifier, status, 'W' AS record_type, kind AS divergence_kind, dv + 1 AS source_position_1based, CAST(length(s) AS BIGINT) AS source_length, CAST(length(g) AS BIGINT) AS graph_length,
+      CASE WHEN kind = 'RANGE_LENGTH' THEN wanted END AS range_length, CASE WHEN kind = 'RANGE_LENGTH' THEN held END AS walk_length FROM wo"""),
+    "walk_addressed_digest": _on_walks("""SELECT identifier, sha256(string_agg(substr(s, CAST(start + 1 AS BIGINT), "end" - start), '' ORDER BY start)) AS sha256 FROM w JOIN ws USING (identifier) GROUP BY 1"""),
+    "walk_aggregates": _on_walks("""
+      , wa AS (SELECT *, k % 2 + 1 AS si FROM wo JOIN (SELECT identifier, sum("end" - start) AS addressed FROM w GROUP BY 1) USING (identifier))
+      SELECT CAST(level AS BIGINT) AS level, * EXCLUDE (level) FROM (
+      SELECT 3 AS level, CAST(NULL AS BIGINT) AS source_index, CAST(NULL AS VARCHAR) AS record_type, count(*) AS source_sequences, count(*) AS graph_traversals, CAST(sum(length(s)) AS BIGINT) AS source_bases, CAST(sum(length(g)) AS BIGINT) AS graph_bases, CAST(sum(length(s) - addressed) AS BIGINT) AS not_embedded, count(*) FILTER (status = 'IDENTICAL') AS identical, count(*) FILTER (status = 'DIVERGENT') AS divergent FROM wa
+      UNION ALL SELECT 1, si, NULL, count(*) AS source_sequences, count(*) AS graph_traversals, CAST(sum(length(s)) AS BIGINT) AS source_bases, CAST(sum(length(g)) AS BIGINT) AS graph_bases, CAST(sum(length(s) - addressed) AS BIGINT) AS not_embedded, count(*) FILTER (status = 'IDENTICAL') AS identical, count(*) FILTER (status = 'DIVERGENT') AS divergent FROM wa GROUP BY si
+      UNION ALL SELECT 2, NULL, 'W', count(*) AS source_sequences, count(*) AS graph_traversals, CAST(sum(length(s)) AS BIGINT) AS source_bases, CAST(sum(length(g)) AS BIGINT) AS graph_bases, CAST(sum(length(s) - addressed) AS BIGINT) AS not_embedded, count(*) FILTER (status = 'IDENTICAL') AS identical, count(*) FILTER (status = 'DIVERGENT') AS divergent FROM wa)"""),
+    "records_sorted": _base("""SELECT identifier, row_number() OVER (PARTITION BY identifier ORDER BY start, "end", orderkey) AS rec, orderkey AS line_no, start, "end" FROM w"""),
     "union_sources": "SELECT CAST(1 AS BIGINT) AS source_index, concat('c', c_custkey) AS identifier FROM customer UNION ALL SELECT 2, concat('s', s_suppkey) FROM supplier",
     "outcomes_sorted": _base("SELECT identifier, status FROM oc ORDER BY identifier"),
     "chunked_range_join": _base("""SELECT concat('o', orderkey) AS identifier, step_no, substr(sequence, CAST(o + 1 AS BIGINT), CAST(least(n, length(sequence) - o) AS BIGINT)) AS there FROM
