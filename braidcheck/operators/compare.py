@@ -63,9 +63,9 @@ def pieces(offsets: DataFrame) -> DataFrame:
     cut = F.when(F.col("limit") <= head, F.array(F.substring(F.col("bases"), F.lit(1), head))).otherwise(
         F.concat(F.array(F.substring(F.col("bases"), F.lit(1), head)), F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
     )
-    rows = offsets.where("limit > 0").withColumn("head", head).select("identifier", "rec", "step_no", "at", "head", F.posexplode(cut).alias("piece", "bases"))
+    rows = offsets.where("limit > 0").withColumn("head", head).select("identifier", "rec", "step_no", "segment", "orientation", "size", "at", "head", F.posexplode(cut).alias("piece", "bases"))
     return rows.select(
-        "identifier", "rec", "step_no", "piece", "bases",
+        "identifier", "rec", "step_no", "segment", "orientation", "size", "at", "piece", "bases",
         F.when(F.col("piece") == 0, 0).otherwise(F.col("head") + (F.col("piece") - 1) * CHUNK).cast("long").alias("base"),
         (F.floor(F.col("at") / CHUNK) + F.col("piece")).cast("int").alias("chunk"),
         F.when(F.col("piece") == 0, F.col("at") % CHUNK).otherwise(0).cast("int").alias("within"),
@@ -83,11 +83,13 @@ def record_divergences(offsets: DataFrame, sources: DataFrame) -> DataFrame:
     p = pieces(offsets).join(chunks(sources), ["identifier", "chunk"])
     p = p.withColumn("there", F.substring(F.col("text"), F.col("within") + 1, F.length("bases")))
     p = p.where(F.upper("there") != F.upper("bases"))
-    p = p.groupBy("identifier", "rec").agg(F.min_by(F.struct("step_no", "base", "bases", "there"), F.struct("step_no", "piece")).alias("x"))
-    p = p.select("identifier", "rec", F.col("x.step_no").alias("step_no"), (F.col("x.base") + first_difference(F.col("x.there"), F.col("x.bases"), F.length("x.bases"))).alias("index"))
-    short = offsets.where("limit < size").groupBy("identifier", "rec").agg(F.min(F.struct("step_no", F.col("limit").alias("index"))).alias("x")).select("identifier", "rec", "x.*")
-    first = p.unionByName(short).groupBy("identifier", "rec").agg(F.min(F.struct("step_no", "index")).alias("x")).select("identifier", "rec", "x.*")
-    met = first.join(offsets.select("identifier", "rec", "step_no", "segment", "orientation", "size", "at"), ["identifier", "rec", "step_no"])
+    # What a place is told by goes along, so that nothing is joined again.
+    step = ["segment", "orientation", "size", "at"]
+    p = p.groupBy("identifier", "rec").agg(F.min_by(F.struct("step_no", "base", "bases", "there", *step), F.struct("step_no", "piece")).alias("x"))
+    index = F.col("x.base") + first_difference(F.col("x.there"), F.col("x.bases"), F.length("x.bases"))
+    p = p.select("identifier", "rec", F.struct("x.step_no", index.cast("long").alias("index"), *[f"x.{c}" for c in step]).alias("x"))
+    short = offsets.where("limit < size").select("identifier", "rec", F.struct("step_no", F.col("limit").cast("long").alias("index"), *step).alias("x"))
+    met = p.unionByName(short).groupBy("identifier", "rec").agg(F.min("x").alias("x")).select("identifier", "rec", "x.*")
     location = F.struct(
         "segment", "orientation", (F.col("index") + 1).cast("long").alias("traversal_position"),
         segment_position(F.col("orientation"), F.col("index"), F.col("size")).alias("segment_position"),

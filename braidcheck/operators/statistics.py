@@ -111,15 +111,11 @@ def aggregates(outcomes: DataFrame) -> DataFrame:
     """Aggregates of everything, of each source and of each record type, as rows (source_index, record_type, level)."""
     level = F.grouping_id().alias("level")
     sets = [[], [F.col("source_index")], [F.col("record_type")]]
-    rows = outcomes.groupingSets(sets, "source_index", "record_type").agg(level, *_renamed(aggregate_columns()))
+    rows = outcomes.groupingSets(sets, "source_index", "record_type").agg(level, *aggregate_columns())
     # level: 3 all, 1 by source, 2 by record type; rows without a source or a record belong to no group of theirs.
     return rows.where("level = 3 or (level = 1 and source_index is not null) or (level = 2 and record_type is not null)")
 
 
-def _renamed(columns: list[Column]) -> list[Column]:
-    return columns
-
-
 def summary_counts(outcomes: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
     return outcomes.agg(*counts, F.count(F.lit(1)).alias("total"))

@@ -289,9 +289,11 @@ def summary_counts(spark, d):
 
 
 def percentages(spark, d):
-    o = _outcomes(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    total = _outcomes(spark, d).agg(F.count(F.lit(1)).alias("total"))
-    return o.join(F.broadcast(total)).select("status", F.round(S.percentage(C("n"), C("total")), 6).alias("percentage"))
+    from pyspark.sql.window import Window
+
+    # Four rows, so one window over all of them.
+    o = _outcomes(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return o.select("status", F.round(S.percentage(C("n"), C("total")), 6).alias("percentage"))
 
 
 def aggregate_global_source_type(spark, d):
