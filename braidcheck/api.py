@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from .sources.lines import probe
 
 #: Version of the contract that outcomes and diagnostics follow.
 CONTRACT_VERSION = "0.1.2"
+#: Diagnostics that an error holds itself; the frame has the rest as well.
+MOST_DIAGNOSTICS = 10_000
 _COUNTERS = ["source_sequences", "graph_traversals", "source_bases", "graph_bases", "source_ambiguous_bases", "graph_ambiguous_bases", "ambiguous_columns", "edit_distance", "aligned_columns", "completed_alignments", "unavailable_alignments"]
 
 
@@ -97,6 +100,9 @@ def audit_telemetry(x: AuditResult) -> dict[str, Any]:
 
 
 def diagnostics_frame(spark: SparkSession, error: AuditError) -> DataFrame:
+    """All diagnostics of an error, in order; read anew from the inputs where they are more than it holds."""
+    if error.frame is not None:
+        return error.frame
     columns = [c.split(" ")[0] for c in DIAGNOSTICS.split(", ")]
     return spark.createDataFrame([tuple(d[c] for c in columns) for d in error.diagnostics], DIAGNOSTICS)
 
@@ -146,13 +152,27 @@ def _statistics_view(outcomes: DataFrame, sources: int) -> dict[str, Any]:
     }
 
 
-def _raise(rows: list[dict]) -> None:
+def _raise(rows: list[dict], frame: DataFrame | None = None) -> None:
     kind = OperationalError if any(r["category"] in ("operational", "internal") for r in rows) else InputError
-    raise kind(rows[0]["message"] if rows else "audit failed", rows)
+    raise kind(rows[0]["message"] if rows else "audit failed", rows, frame)
+
+
+def _failure(error: Exception) -> OperationalError:
+    """What Spark failed of: memory, room for what it spills and shuffles, or else."""
+    text = str(error)
+    # An error out of the JVM names the call in its first line and the cause in the next.
+    told = next((t[2:] for t in text.splitlines() if t.startswith(": ")), text.split("\n")[0]) or type(error).__name__
+    if "OutOfMemoryError" in text or "ExecutorLostFailure" in text and "memory" in text.lower() or isinstance(error, MemoryError):
+        code, message = "OUT_OF_MEMORY", "memory allocation failed"
+    elif "No space left on device" in text or "DiskErrorException" in text:
+        code, message = "TEMP_STORE", told
+    else:
+        code, message = "AUDIT_FAILED", told
+    return OperationalError(message, [diagnostic("operational", code, message)])
 
 
 def _read(spark: SparkSession, args: Arguments, held: list[DataFrame]):
-    """Parsed inputs and all diagnostics in order."""
+    """Parsed inputs, diagnostics in order (the first MOST_DIAGNOSTICS of the rows found by Spark), and a frame of all where they are more."""
     early: list[tuple[list[int], str, dict]] = []
     compressions, fastas, errors = [], [], []
     for i, source in enumerate(args.sources, 1):
@@ -185,13 +205,18 @@ def _read(spark: SparkSession, args: Arguments, held: list[DataFrame]):
         checks += preflight.graph_rows(gfa, lengths, args.gfa)
     except OSError as error:
         early.append(([1, -1, 0, 0], "", diagnostic("gfa", "GFA_READ", str(error), path=args.gfa)))
-    found = list(early)
+    found, frame = list(early), None
     if checks:
-        for r in _union(checks).collect():
+        made = _union(checks)
+        rows = made.orderBy("order", "tie").limit(MOST_DIAGNOSTICS + 1).collect()
+        if len(rows) > MOST_DIAGNOSTICS:
+            first = [(order, tie, *(d[c] for c in made.columns[2:])) for order, tie, d in early]
+            frame = made.union(spark.createDataFrame(first, made.schema)).orderBy("order", "tie").drop("order", "tie")
+        for r in rows[:MOST_DIAGNOSTICS]:
             row = r.asDict()
             found.append((row.pop("order"), row.pop("tie"), {**row, "details": dict(row["details"] or {})}))
     found.sort(key=lambda x: (x[0], x[1]))
-    return fasta, gfa, gfa_kind, compressions, [x[2] for x in found]
+    return fasta, gfa, gfa_kind, compressions, [x[2] for x in found], frame
 
 
 def audit_gfa(
@@ -230,10 +255,9 @@ def audit_gfa(
         spark.interruptTag(tag)
         _drop(held)
         raise
-    except PySparkException as error:
+    except (PySparkException, Py4JError, MemoryError) as error:
         _drop(held)
-        message = str(error).splitlines()[0]
-        raise OperationalError(message, [diagnostic("operational", "AUDIT_FAILED", message)]) from error
+        raise _failure(error) from error
     except Exception as error:
         _drop(held)
         raise OperationalError(str(error), [diagnostic("internal", "INTERNAL_ERROR", str(error))]) from error
@@ -247,15 +271,16 @@ def _drop(held: list[DataFrame]) -> None:
 
 
 def _audit(spark: SparkSession, args: Arguments, held: list[DataFrame]) -> AuditResult:
-    sources, gfa, gfa_kind, compressions, problems = _read(spark, args, held)
+    sources, gfa, gfa_kind, compressions, problems, frame = _read(spark, args, held)
     if problems:
-        _raise(problems)
+        _raise(problems, frame)
     rows = compare.outcomes(sources.select("identifier", "source_index", "sequence"), G.traversals(gfa), G.segments(gfa))
     limit = args.memory_mib * 1024**2
     comprehensive = args.statistics == "comprehensive"
     rows = statistics.add_statistics(rows, limit, args.alignment_max_cells) if comprehensive else statistics.without_statistics(rows)
     kinds = dict(OUTCOMES)
-    outcomes = add_digests(rows).select(*[F.col(c).cast(kinds[c]).alias(c) for c in OUTCOME_COLUMNS]).orderBy("identifier").persist()
+    # Kept before they are sorted: the sort samples its input first and would digest all sequences twice.
+    outcomes = add_digests(rows).select(*[F.col(c).cast(kinds[c]).alias(c) for c in OUTCOME_COLUMNS]).persist()
     held.append(outcomes)
 
     aligned = F.col("alignment_status").isin("complete", "limit_exceeded")
@@ -272,7 +297,7 @@ def _audit(spark: SparkSession, args: Arguments, held: list[DataFrame]) -> Audit
         F.coalesce(F.bool_or((F.get("fields", F.lit(0)) == "P") & (F.get("fields", F.lit(3)) == "*")), F.lit(False)).alias("starred"),
     ).first()
     return AuditResult(
-        outcomes,
+        outcomes.orderBy("identifier"),
         {"counts": counts, "percentages": {k: 100 * v / total if total else None for k, v in counts.items()}, "total": total},
         _statistics_view(outcomes, len(args.sources)) if comprehensive else {},
         {

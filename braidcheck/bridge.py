@@ -51,7 +51,9 @@ def gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     s = s.select((F.col("line_no") + 1).alias("line_no"), F.when(F.col("line_no") % 97 == 5, F.concat(F.lit("S\t"), "name")).when(F.col("line_no") % 97 == 6, F.concat(F.lit("S\t"), "name", F.lit("\t*"))).when(F.col("line_no") % 97 == 7, F.concat(F.lit("S\t"), "name", tab, "sequence", F.lit("X"))).otherwise(F.concat(F.lit("S\t"), "name", tab, "sequence", F.lit("\tLN:i:1"))).alias("line"))
     p = path_texts(spark, sf_dir)
-    overlaps = F.when(F.col("line_no") % 89 == 3, F.lit("1M")).otherwise(F.col("overlaps"))
+    joints = F.size(F.split("steps_text", ",")) - 1
+    zeros = lambda n: F.array_join(F.array_repeat(F.lit("0M"), n), ",")
+    overlaps = F.when(F.col("line_no") % 89 == 3, F.lit("1M")).when(F.col("line_no") % 89 == 6, zeros(joints)).when(F.col("line_no") % 89 == 7, zeros(joints + 1)).otherwise(F.col("overlaps"))
     text = F.when(F.col("line_no") % 89 == 4, F.concat("steps_text", F.lit(","))).otherwise(F.col("steps_text"))
     p = p.select((F.col("line_no") + 1_000_000_000).alias("line_no"), F.when(F.col("line_no") % 89 == 5, F.concat(F.lit("P\t"), "identifier")).otherwise(F.concat(F.lit("P\t"), "identifier", tab, text, tab, overlaps)).alias("line"))
     c = table(spark, sf_dir, "customer")
@@ -68,6 +70,18 @@ def gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.union(s).union(p).union(w)
 
 
+def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block, line_no, line, error) of a FASTA text: each supplier is a header and two lines, the first of them empty for some; a block holds 100 records, so that some span none."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("long")
+    bases = F.translate(F.md5(k.cast("string")), DIGITS, BASES)
+    first = F.when(k % 5 == 0, F.lit("")).otherwise(F.substring(bases, F.lit(1), (k % 20).cast("int")))
+    lines = F.array(F.concat(F.lit(">"), F.when(k % 3 == 0, F.lit(" ")).otherwise(F.lit("")), F.col("s_name"), F.lit(" of "), F.col("s_nationkey")), first, F.lower(F.substring(bases, 21, 12)))
+    rows = s.select(k.alias("k"), F.posexplode(lines).alias("place", "line"))
+    line_no = F.col("k") * 3 + F.col("place")
+    return rows.select(F.floor(line_no / 100).cast("long").alias("block"), line_no.alias("line_no"), "line", F.lit(None).cast("string").alias("error"))
+
+
 def graph_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(orderkey, graph) through the library's own joins."""
     from .functions.sequences import ordered_concat

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 
 class AuditError(Exception):
-    """Base of all; ``diagnostics`` is a list of dicts with the columns of DIAGNOSTICS."""
+    """Base of all; ``diagnostics`` is a list of dicts with the columns of DIAGNOSTICS.
 
-    def __init__(self, message: str, diagnostics: list[dict] | None = None) -> None:
+    Of very many it holds the first ones, and ``frame`` is a DataFrame of them all, in order.
+    """
+
+    def __init__(self, message: str, diagnostics: list[dict] | None = None, frame=None) -> None:
         super().__init__(message)
         self.diagnostics = diagnostics or []
+        self.frame = frame
 
     @property
     def codes(self) -> list[str]:

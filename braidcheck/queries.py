@@ -11,6 +11,7 @@ from .functions import sequences as S
 from .operators import compare, statistics
 from .plans import preflight as R
 from .sources import gfa as G
+from .sources.fasta import parse_fasta
 
 C = F.col
 
@@ -223,6 +224,11 @@ def walk_aggregates(spark, d):
     return rows.select(*_long("level", "source_index"), "record_type", "source_sequences", "graph_traversals", "source_bases", "graph_bases", "not_embedded", "identical", "divergent")
 
 
+def fasta_scan(spark, d):
+    records, _ = parse_fasta(B.fasta_lines(spark, d))
+    return records.select("record_no", C("raw_name").alias("name"), "sequence")
+
+
 def records_sorted(spark, d):
     return compare.ordered_records(B.walk_traversals(spark, d)).select("identifier", *_long("rec", "line_no", "start", "end"))
 
@@ -341,7 +347,7 @@ def outcomes_with_digests(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gfa_scan_records, gfa_header_version, segment_scan, path_scan, walk_scan, path_steps_parse, walk_steps_parse, iupac_validate, first_invalid_symbol,
+        fasta_scan, gfa_scan_records, gfa_header_version, segment_scan, path_scan, walk_scan, path_steps_parse, walk_steps_parse, iupac_validate, first_invalid_symbol,
         ambiguous_count, complement_iupac, reverse_complement, segment_position, numeric_name, canonical_segment, identifier_mapping, overlap_blunt,
         sha256_sequence, blake3_sequence, dup_source_ids, dup_segments, dup_paths, path_walk_conflict, ambiguous_walk_ranges, walk_range_overlap,
         walk_range_bounds, unresolved_segments, step_segment_join, reconstruct_path, reconstruct_walk, source_range, addressed_bases, addressed_digest,
@@ -382,13 +388,14 @@ ws AS (SELECT *, CASE WHEN k % 10 = 0 THEN concat(CASE WHEN substr(s0, 1, 1) = '
 wo AS (SELECT *, CASE WHEN dv IS NULL THEN 'IDENTICAL' ELSE 'DIVERGENT' END AS status, CASE WHEN dv IS NULL THEN NULL WHEN dv = last_off THEN 'RANGE_LENGTH' WHEN k % 10 = 0 THEN 'BASE' ELSE 'END' END AS kind FROM ws)
 """
 _LINES = """
-, pt AS (SELECT orderkey, string_agg(concat(segment, orientation), ',' ORDER BY step_no) AS t FROM st GROUP BY orderkey),
+, pt AS (SELECT orderkey, string_agg(concat(segment, orientation), ',' ORDER BY step_no) AS t, count(*) - 1 AS commas FROM st GROUP BY orderkey),
 gl AS (
   SELECT CAST(0 AS BIGINT) AS line_no, concat('H', chr(9), 'VN:Z:1.1') AS line
   UNION ALL SELECT line_no + 1, CASE WHEN line_no % 97 = 5 THEN concat_ws(chr(9), 'S', name) WHEN line_no % 97 = 6 THEN concat_ws(chr(9), 'S', name, '*')
     WHEN line_no % 97 = 7 THEN concat_ws(chr(9), 'S', name, concat(sequence, 'X')) ELSE concat_ws(chr(9), 'S', name, sequence, 'LN:i:1') END FROM seg
   UNION ALL SELECT orderkey + 1000000000, CASE WHEN orderkey % 89 = 5 THEN concat_ws(chr(9), 'P', concat('o', orderkey))
-    ELSE concat_ws(chr(9), 'P', concat('o', orderkey), CASE WHEN orderkey % 89 = 4 THEN concat(t, ',') ELSE t END, CASE WHEN orderkey % 89 = 3 THEN '1M' ELSE '*' END) END FROM pt
+    ELSE concat_ws(chr(9), 'P', concat('o', orderkey), CASE WHEN orderkey % 89 = 4 THEN concat(t, ',') ELSE t END, CASE orderkey % 89 WHEN 3 THEN '1M'
+      WHEN 6 THEN concat_ws(',', CASE WHEN commas > 0 THEN repeat('0M,', commas - 1) || '0M' ELSE '' END) WHEN 7 THEN repeat('0M,', commas) || '0M' ELSE '*' END) END FROM pt
   UNION ALL SELECT c_custkey + 2000000000, concat_ws(chr(9), 'W', concat('c', c_custkey), CASE WHEN c_custkey % 31 = 2 THEN 'x' ELSE '1' END, 'chr',
     CASE WHEN c_custkey % 7 = 0 THEN '*' ELSE CAST(c_custkey % 5 AS VARCHAR) END, CASE WHEN c_custkey % 7 = 0 THEN '*' ELSE CAST(c_custkey % 11 AS VARCHAR) END,
     CASE WHEN c_custkey % 13 = 1 THEN '12' ELSE concat('>', c_custkey, '<', c_custkey + 1) END) FROM customer),
@@ -429,6 +436,9 @@ _AGG = """CAST(count(source_index) AS BIGINT) AS source_sequences, CAST(count(*)
   count(*) FILTER (status = 'IDENTICAL') AS identical, count(*) FILTER (status = 'DIVERGENT') AS divergent, count(*) FILTER (status = 'MISSING_PATH') AS missing_path, count(*) FILTER (status = 'MISSING_SOURCE') AS missing_source"""
 
 ORACLES = {
+    "fasta_scan": f"""SELECT row_number() OVER (ORDER BY s_suppkey) AS record_no, s_name AS name,
+      concat(CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE substr(q, 1, CAST(s_suppkey % 20 AS BIGINT)) END, lower(substr(q, 21, 12))) AS sequence
+      FROM (SELECT *, translate(md5(CAST(s_suppkey AS VARCHAR)), '{B.DIGITS}', '{B.BASES}') AS q FROM supplier)""",
     "gfa_scan_records": _on_lines("SELECT x[1] AS kind, count(*) AS n, CAST(sum(len(x)) AS BIGINT) AS n_fields FROM f GROUP BY 1"),
     "gfa_header_version": _on_lines("SELECT substr(x[2], 6) AS version FROM f WHERE x[1] = 'H'"),
     "segment_scan": _on_lines(f"SELECT line_no, name, q AS sequence, q <> '*' AND NOT regexp_matches(q, '{_BAD}') AS valid FROM fs"),
@@ -447,7 +457,7 @@ ORACLES = {
     "numeric_name": f"WITH {_NAMES} SELECT name, CAST(v AS VARCHAR) AS number FROM nn",
     "canonical_segment": f"WITH {_NAMES} SELECT name, CASE WHEN v > 0 THEN concat('#', v) ELSE concat('$', name) END AS key FROM nn",
     "identifier_mapping": "SELECT CAST(c_custkey AS BIGINT) AS custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN concat('s', c_nationkey, '#1#', c_name) ELSE concat('pre-', c_name) END AS identifier FROM customer",
-    "overlap_blunt": _on_lines("SELECT line_no, \"overlaps\" = '*' AS blunt FROM pp"),
+    "overlap_blunt": _on_lines("""SELECT line_no, "overlaps" = '*' OR (NOT bad AND len(t) > 1 AND len(string_split("overlaps", ',')) = len(t) - 1 AND regexp_full_match("overlaps", '0M(,0M)*')) AS blunt FROM pp"""),
     "sha256_sequence": _base("SELECT name, sha256(upper(lower(sequence))) AS sha256 FROM seg"),
     "dup_source_ids": """SELECT identifier, source_index, record_no FROM (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY source_index, record_no) AS k FROM
       (SELECT concat('n', c_nationkey, '-', c_custkey % 50) AS identifier, CAST(c_custkey % 3 AS BIGINT) AS source_index, CAST(c_custkey AS BIGINT) AS record_no FROM customer)) WHERE k > 1""",
@@ -478,6 +488,12 @@ ORACLES = {
     "edit_distance": _base("SELECT identifier, CAST(levenshtein(s, g) AS BIGINT) AS edit_distance FROM oc WHERE status = 'DIVERGENT'"),
     "alignment_limit": _base("SELECT identifier, CASE WHEN d * d + d + length(s) - length(g) + 1 <= 4 THEN 'complete' ELSE 'limit_exceeded' END AS alignment_status FROM (SELECT *, levenshtein(s, g) AS d FROM oc WHERE status = 'DIVERGENT')"),
     "memory_limit": _base("SELECT identifier, CASE WHEN length(s) + length(g) > 150 THEN 'memory_limit_exceeded' ELSE 'complete' END AS alignment_status, CAST(CASE WHEN length(s) + length(g) > 150 THEN length(s) ELSE 0 END AS BIGINT) AS unaligned_divergent_source FROM oc WHERE status = 'DIVERGENT'"),
+    # A source differs from its graph by one letter changed, added or left out at most, which the lengths tell.
+    "base_partition": _base("""SELECT identifier, CAST(CASE status WHEN 'IDENTICAL' THEN length(g) WHEN 'DIVERGENT' THEN least(length(s), length(g)) - one ELSE 0 END AS BIGINT) AS matched,
+      CAST(CASE WHEN status = 'DIVERGENT' THEN one ELSE 0 END AS BIGINT) AS substituted,
+      CAST(CASE WHEN status = 'DIVERGENT' THEN greatest(length(s) - length(g), 0) ELSE 0 END AS BIGINT) AS source_only, CAST(CASE WHEN status = 'DIVERGENT' THEN greatest(length(g) - length(s), 0) ELSE 0 END AS BIGINT) AS graph_only,
+      CAST(0 AS BIGINT) AS not_embedded, CAST(CASE WHEN status = 'MISSING_PATH' THEN length(s) ELSE 0 END AS BIGINT) AS missing_path_bases, CAST(CASE WHEN status = 'MISSING_SOURCE' THEN length(g) ELSE 0 END AS BIGINT) AS missing_source_bases
+      FROM (SELECT *, CASE WHEN length(s) = length(g) THEN 1 ELSE 0 END AS one FROM oc)"""),
     "summary_counts": _base("SELECT count(*) FILTER (status = 'IDENTICAL') AS identical, count(*) FILTER (status = 'DIVERGENT') AS divergent, count(*) FILTER (status = 'MISSING_PATH') AS missing_path, count(*) FILTER (status = 'MISSING_SOURCE') AS missing_source, count(*) AS total FROM oc"),
     "percentages": _base("SELECT status, round(100.0 * count(*) / (SELECT count(*) FROM oc), 6) AS percentage FROM oc GROUP BY 1"),
     "aggregate_global_source_type": _base(f"""SELECT CAST(level AS BIGINT) AS level, source_index, record_type, * EXCLUDE (level, source_index, record_type) FROM (

@@ -7,6 +7,8 @@ import uuid
 import zlib
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,8 @@ from pyspark.sql.window import Window
 LINES = "block long, line_no long, line string, error string"
 #: Suffixes from which Spark's text reader infers a codec, whatever the content.
 CODED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd")
-#: Files up to this size are decompressed here, with errors reported; larger ones by the text reader.
-WHOLE_FILE = 1 << 30
+#: gzip files up to this size are one row that a task decompresses piece by piece; the text reader streams larger ones.
+WHOLE_FILE = 64 << 20
 
 
 def probe(spark: SparkSession, path: str) -> tuple[str, int]:
@@ -68,15 +70,47 @@ def _inflate(content: bytes, gzip: bool):
         yield None, error
 
 
+def _under_suffix(spark: SparkSession, path: str, suffix: str) -> str:
+    """A copy of a file under a name of that suffix, by which the text reader tells the codec, in the folder that executors share. It goes when the driver does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise OSError("spark.checkpoint.dir is needed to read a large file whose name does not tell its compression")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/braid-{uuid.uuid4().hex}{suffix}")
+    store = new.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(old.getFileSystem(conf), old, store, new, False, conf)
+    store.deleteOnExit(new)
+    return new.toString()
+
+
+def _damage(spark: SparkSession, path: str) -> str | None:
+    """Why a compressed file cannot be read to its end; null if it can."""
+    try:
+        spark.read.option("lineSep", "\n").text(_literal(path)).count()
+    except (PySparkException, Py4JError) as error:
+        if "FAILED_READ_FILE" not in str(error):
+            raise
+        return "unexpected end of file" if "nexpected end of" in str(error) else "damaged gzip data"
+    return None
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(block, line_no from 1, line, error) of one file; lines end at a line feed and lose one carriage return before it.
 
     Plain files are split among tasks; each split counts its own lines, and a row per split
-    holds what comes before. gzip content under any name is read in one task.
+    holds what comes before. gzip content under any name and of any size is read in one task that holds a piece at a
+    time. Damage in a small gzip file is the row after the lines before it; a large one is read through first, and is that row alone.
     """
     kind, size = probe(spark, path)
-    coded = path.lower().endswith(CODED)
-    if (kind == "gzip" or coded) and size <= WHOLE_FILE:
+    small = size <= WHOLE_FILE and (kind == "gzip" or path.lower().endswith(CODED))
+    if not small and kind == "gzip" and not path.endswith(".gz"):
+        path = _under_suffix(spark, path, ".gz")
+    elif not small and kind == "plain" and path.lower().endswith(CODED):
+        path = _under_suffix(spark, path, ".txt")
+    damage = _damage(spark, path) if kind == "gzip" and not small else None
+    if damage:
+        rows = spark.createDataFrame([(0, 1, None, damage)], LINES)
+    elif small:
 
         def run(batches):
             for pdf in batches:

@@ -169,3 +169,25 @@ def test_names(audit, gfa):
     with pytest.raises(InputError) as e:
         audit(">x\nAC\n", gfa)
     assert "UNRESOLVED_SEGMENT" in e.value.codes or "DUPLICATE_SEGMENT" in e.value.codes
+
+
+@pytest.mark.parametrize("name, zipped", [("large.gz", True), ("large.fa", True), ("plain.gz", False)])
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch, name, zipped):
+    import gzip
+
+    from braidcheck.sources import lines as L
+
+    monkeypatch.setattr(L, "WHOLE_FILE", 10)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    # Two members, one carriage return, no line feed at the end.
+    texts = [f">s{i}\r\nAC{'GT' * i}\n".encode() for i in range(500)]
+    halves = [b"".join(texts[:250]), b"".join(texts[250:]).rstrip(b"\n")]
+    path = tmp_path / name
+    path.write_bytes(b"".join(gzip.compress(h) for h in halves) if zipped else b"".join(halves))
+    got = [(r["line_no"], r["line"], r["error"]) for r in L.read_lines(spark, str(path)).orderBy("line_no").collect()]
+    want = [x for i in range(500) for x in (f">s{i}", "AC" + "GT" * i)]
+    assert got == [(i + 1, x, None) for i, x in enumerate(want)]
+    if zipped:
+        path.write_bytes(gzip.compress(b"".join(halves))[:-20])
+        assert [r["error"] for r in L.read_lines(spark, str(path)).collect()] == ["unexpected end of file"]

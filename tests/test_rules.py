@@ -122,3 +122,24 @@ def test_alignment_of_random_pairs():
         assert x.edit_distance == d and x.cells == (1 if a == b else d * d + d + len(a) - len(b) + 1)
         assert x.matched + x.substituted + x.source_only == len(a) and x.matched + x.substituted + x.graph_only == len(b)
         assert align(a, b, x.cells) is not None and align(a, b, x.cells - 1) is None
+
+
+def test_many_diagnostics(audit, spark, monkeypatch):
+    """An error holds the first ones, its frame all, in the same order."""
+    import braidcheck.api as api
+
+    monkeypatch.setattr(api, "MOST_DIAGNOSTICS", 3)
+    with pytest.raises(InputError) as e:
+        audit(">sample\nACGT\n", "S 1 AX;S 2 AQ;S 3 AZ;S 4 AJ;P sample 1+ *")
+    assert [d["line"] for d in e.value.diagnostics] == [1, 2, 3]
+    every = diagnostics_frame(spark, e.value).collect()
+    assert [r["line"] for r in every][:4] == [1, 2, 3, 4] and len(every) > 4
+    assert set(every[0].asDict()) == set(e.value.diagnostics[0])
+
+
+def test_operational_codes():
+    from braidcheck.api import _failure
+
+    told = {"java.lang.OutOfMemoryError: Java heap space": "OUT_OF_MEMORY", "java.io.IOException: No space left on device": "TEMP_STORE", "else": "AUDIT_FAILED"}
+    assert {t: _failure(Exception(t)).codes[0] for t in told} == told
+    assert _failure(MemoryError()).codes == ["OUT_OF_MEMORY"]
