@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, settle, written
+
+
+def _rows(df: DataFrame, a: str, b: str, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (a, b) for each of some pairs of columns. Both come from one pass; a union would plan and run all below it twice."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(x).alias(a), F.col(y).alias(b)) for x, y in pairs])).alias("x")).select(f"x.{a}", f"x.{b}")
 
 
 def _least(pairs: DataFrame, node: str, near: str) -> DataFrame:
@@ -21,14 +26,14 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    both = _rows(edges, "node", "near", ("u", "v"), ("v", "u"))
     return _least(both, "node", "near").where("near > node").select(F.col("near").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("upper"), F.least("u", "v").alias("lower"))
     stars = _least(down, "upper", "lower")
-    return stars.select(F.col("lower").alias("u"), F.col("m").alias("v")).union(stars.select(F.col("upper").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+    return _rows(stars, "u", "v", ("lower", "m"), ("upper", "m")).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
@@ -44,6 +49,7 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     while True:
         new = written(small_star(large_star(now)), folder, f"edges{at + 1}")
         discard(spark, f"{folder}/edges{at}")
+        settle(spark)
         before, mark = mark, _mark(new)
         now, at = new, at + 1
         if mark == before:

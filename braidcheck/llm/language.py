@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, id_or_null, identified, lean, table
+from .common import crc_fold, hand_back, id_or_null, identified, lean, table
 from .hashing import mix
 
 #: Places that bigrams and trigrams of letters are hashed to.
@@ -28,6 +29,8 @@ BINS = 16
 MOST_BROADCAST = 10_000
 UNDETERMINED = "und"
 ROUNDS = 12
+#: Vectors of the sample that are held at once where none is needed with the others.
+ROWS_AT_ONCE = 512
 
 _letters: list[np.ndarray] = []
 
@@ -90,6 +93,15 @@ def radii(bins: np.ndarray, own: np.ndarray, begun_bins: np.ndarray, begun_own:
     return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes, which sort as the numbers do and take 4 bytes each on the driver; lists of them take ten times that."""
+    return numbers.astype(">u4").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=">u4").astype(np.int64)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -104,7 +116,8 @@ class Model:
         for row, (places, counts, _) in zip(out, counted):
             row[places] = np.sqrt(counts) * self.idf[places]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
+        out /= np.where(norm > 0, norm, 1)
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine to its nearest centroid, rejected) of each text."""
@@ -177,33 +190,40 @@ def fit(labelled: DataFrame) -> Model:
             for lang, text, k in zip(pdf["lang"].tolist(), pdf["text"].tolist(), pdf["k"].tolist()):
                 c = gram_counts(text)
                 if c[2]:
-                    rows.append((lang, c[0].tolist(), c[1].tolist(), c[2], False))
+                    rows.append((lang, _packed(c[0]), _packed(c[1]), c[2], False))
                     for some in beginnings(text, c[2]) if k <= begun else []:
                         places, counts, n = gram_counts(some)
-                        rows.append((lang, places.tolist(), counts.tolist(), n, True))
+                        rows.append((lang, _packed(places), _packed(counts), n, True))
             yield pd.DataFrame(rows, columns=["lang", "places", "counts", "letters", "begun"])
 
     begun = -(-BEGINNINGS // len(languages))
-    sample = sorted(drawn.select("lang", "text", "k").mapInPandas(counted, "lang string, places array<int>, counts array<int>, letters int, begun boolean").collect())
-    sample, parts = [r for r in sample if not r["begun"]], [r for r in sample if r["begun"]]
+    sample = sorted(drawn.select("lang", "text", "k").mapInPandas(counted, "lang string, places binary, counts binary, letters int, begun boolean").collect())
     model = empty
-    model.languages = languages = sorted({r["lang"] for r in sample})
+    model.languages = languages = sorted({r["lang"] for r in sample if not r["begun"]})
     if not languages:
         return empty
-    vectors = model.vectors([(np.array(r["places"]), np.array(r["counts"]), r["letters"]) for r in sample])
-    of = np.array([languages.index(r["lang"]) for r in sample])
-    found = [_spherical_means(vectors[of == i], CENTROIDS) for i in range(len(languages))]
+
+    def vectors(rows):
+        return model.vectors([(_unpacked(r["places"]), _unpacked(r["counts"]), r["letters"]) for r in rows])
+
+    def nearest(rows, centres):
+        """Length bins of rows, and the cosine of each to the nearest of the centres."""
+        cosines = [(vectors(rows[at : at + ROWS_AT_ONCE]) @ centres.T).max(axis=1) for at in range(0, len(rows), ROWS_AT_ONCE)]
+        return length_bin(np.array([r["letters"] for r in rows], dtype=np.int64)), np.concatenate([np.zeros(0, dtype=np.float32), *cosines])
+
+    # The vectors of one language are held at a time.
+    found, whole, parts = [], [], []
+    for _, rows in groupby(sample, key=lambda r: r["lang"]):
+        rows = list(rows)
+        own, begun_rows = [r for r in rows if not r["begun"]], [r for r in rows if r["begun"]]
+        found.append(_spherical_means(vectors(own), CENTROIDS))
+        whole.append(nearest(own, found[-1]))
+        parts.append(nearest(begun_rows, found[-1]))
     model.centroids = np.concatenate(found).astype(np.float32)
     model.owner = np.concatenate([np.full(len(x), i) for i, x in enumerate(found)])
-
-    def nearest(rows, vectors):
-        """Length bins of rows, and the cosine of each to the nearest centroid of its language."""
-        of = np.array([languages.index(r["lang"]) for r in rows], dtype=np.int64)
-        cosines = np.stack([(vectors @ x.T).max(axis=1) for x in found], axis=1)[np.arange(len(of)), of]
-        return length_bin(np.array([r["letters"] for r in rows], dtype=np.int64)), cosines
-
-    begun_vectors = model.vectors([(np.array(r["places"], dtype=np.int64), np.array(r["counts"]), r["letters"]) for r in parts])
-    model.radius = radii(*nearest(sample, vectors), *nearest(parts, begun_vectors))
+    model.radius = radii(*(np.concatenate(x) for x in zip(*whole)), *(np.concatenate(x) for x in zip(*parts)))
+    del sample, rows, own, begun_rows
+    hand_back()
     return model
 
 

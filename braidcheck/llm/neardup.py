@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, id_or_null, identified, lean, shared_dir, table, written
+from .common import NO_ID, discard, id_or_null, identified, lean, settle, shared_dir, table, written
 from .components import connected_components
 from .hashing import mix, shingle_hashes, text_bytes, word_hashes
 
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pool = written(docs.withColumnRenamed("doc_id", "id").join(asked, "id", "left_semi").dropDuplicates(["id"]), folder, "pool")
     sketch = firsts.select("id", "n", "bits").dropDuplicates(["id"])
     sketch = written(sketch.join(asked, "id", "left_semi"), folder, "asked")
+    settle(spark)
 
     pairs = members.where("id <> hub").select("hub", "id").distinct()
     pairs = pairs.join(sketch.select(F.col("id").alias("hub"), F.struct("n", "bits").alias("a")), "hub").join(sketch.select("id", F.struct("n", "bits").alias("b")), "id").where(likely("a", "b")).select(F.col("hub").alias("u"), F.col("id").alias("v"))
@@ -264,12 +265,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = firsts.select("id", "bands").dropDuplicates(["id"])
     fine = fine.join(sketch.select("id", "n"), "id").join(keys, "id").select("id", "n", F.concat("fine", "bands").alias("fine"))
     fine = written(fine, folder, "fine")
+    settle(spark)
     more = written(verified(written(rest_pairs(named, fine), folder, "rest"), pool, f"{folder}/second"), folder, "more")
     part = joined(part, more, f"{folder}/second")
 
     found = classes.join(part, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("component"))
     for name in ("members", "pool", "asked", "pairs", "links", "apart", "fine", "rest", "more"):
         discard(spark, f"{folder}/{name}")
+    settle(spark)
     keyed = base.withColumn("fp1", F.when(F.col("n_shingles") > 0, F.col("fp1")).otherwise(F.col("doc_id")))
     out = keyed.select("doc_id", "n_shingles", "fp1", "fp2").join(found.withColumn("full", F.lit(True)), ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id") == NO_ID, None).when((F.col("n_shingles") > 0) & F.col("full"), F.col("component")).otherwise(F.col("doc_id"))

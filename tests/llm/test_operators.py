@@ -428,3 +428,39 @@ def test_words_of_one_class_are_told_apart_by_history(spark):
     s = {x["doc_id"]: x["score"] for x in maxent.score(docs, model, counts).collect()}
     assert s[900] > s[901] + 0.3 and s[903] > s[902] + 0.3
     assert maxent.MOST_FEATURES >= maxent.table_rows(5_000_000_000) > maxent.table_rows(1_000_000_000) > maxent.table_rows(1000) == maxent.FEATURES
+
+
+def test_language_sample_is_held_compactly(spark):
+    """The driver holds the vectors of one language at a time, and counts as bytes."""
+    import tracemalloc
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(300)), f"l{i % 4}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    docs.count()
+    language.letter_table()
+    tracemalloc.start()
+    model = language.fit(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["l0", "l1", "l2", "l3"] and model.centroids.shape == (16, language.DIMENSIONS)
+    assert most < 150e6, most
+
+
+def test_packed_numbers_sort_as_lists_do():
+    r = random.Random(9)
+    rows = [[r.choice([0, 1, 255, 256, 65_536, 70_000]) for _ in range(r.randint(0, 4))] for _ in range(300)]
+    packed = [language._packed(np.array(x, dtype=np.int64)) for x in rows]
+    assert [language._unpacked(x).tolist() for x in sorted(packed)] == sorted(rows)
+
+
+def test_a_round_of_components_is_one_pass(spark, tmp_path):
+    """Neither star plans what is below it twice, so a round has few tasks."""
+    from braidcheck.llm.components import large_star, small_star
+
+    r = random.Random(10)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(250)], "u long, v long")
+    for star, most in ((large_star, 1), (small_star, 1)):
+        plan = star(edges)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and sum("Join " in x for x in plan.splitlines()) <= most, plan
