@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: md5 digits become bases; the last two make some of them ambiguous.
 DIGITS, BASES = "0123456789abcdef", "ACGTACGTACGTACNR"
+#: What the steps of an order go by.
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "orientation"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +30,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(orderkey, step_no from 0, segment, orientation) of each lineitem."""
     from pyspark.sql.window import Window
 
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return li.select(
-        F.col("l_orderkey").cast("long").alias("orderkey"),
-        (F.row_number().over(order) - 1).cast("long").alias("step_no"),
-        F.col("l_partkey").cast("string").alias("segment"),
-        F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("orientation"),
-    )
+    order = Window.partitionBy("orderkey").orderBy(*ORDER)
+    return ordered_items(spark, sf_dir).select("orderkey", (F.row_number().over(order) - 1).cast("long").alias("step_no"), F.col("l_partkey").cast("string").alias("segment"), "orientation")
+
+
+def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(orderkey, ORDER) of each lineitem."""
+    orientation = F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("orientation")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("orderkey"), *ORDER[:-1], orientation)
 
 
 def path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +86,14 @@ def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(orderkey, graph) through the library's own joins."""
-    from .functions.sequences import ordered_concat
+    from .functions.sequences import ordered_concat, segment_key
+    from .functions.sequences import oriented as turned
 
-    made = oriented(spark, sf_dir)
-    return made.groupBy("orderkey").agg(ordered_concat([F.col("step_no")], F.col("bases")).alias("graph"))
+    s = segments(spark, sf_dir).select(segment_key(F.col("name")).alias("key"), "sequence")
+    # Rows go by the columns that number the steps, and are dealt to their order once, with their bases.
+    made = ordered_items(spark, sf_dir).withColumn("key", segment_key(F.col("l_partkey").cast("string"))).join(s, "key")
+    made = made.select("orderkey", *ORDER, turned(F.col("sequence"), F.col("orientation")).alias("bases")).repartition("orderkey")
+    return made.groupBy("orderkey").agg(ordered_concat([F.col(c) for c in ORDER], F.col("bases")).alias("graph"))
 
 
 def oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +125,9 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P traversals in the form that the comparison takes."""
-    s = steps(spark, sf_dir).groupBy("orderkey").agg(F.array_sort(F.collect_list(F.struct("step_no", "segment", "orientation"))).alias("s"))
+    s = ordered_items(spark, sf_dir).repartition("orderkey").groupBy("orderkey").agg(F.sort_array(F.collect_list(F.struct(*ORDER))).alias("s"))
     none = F.lit(None).cast("decimal(21,0)")
-    return s.select(F.col("orderkey").alias("line_no"), F.concat(F.lit("o"), "orderkey").alias("identifier"), F.lit("P").alias("record_type"), none.alias("start"), none.alias("end"), F.transform("s", lambda x: F.struct(x["segment"].alias("segment"), x["orientation"].alias("orientation"))).alias("steps"))
+    return s.select(F.col("orderkey").alias("line_no"), F.concat(F.lit("o"), "orderkey").alias("identifier"), F.lit("P").alias("record_type"), none.alias("start"), none.alias("end"), F.transform("s", lambda x: F.struct(x["l_partkey"].cast("string").alias("segment"), x["orientation"].alias("orientation"))).alias("steps"))
 
 
 def keyed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,14 +137,14 @@ def keyed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_no, identifier, start, end, orderkey): a walk per order of a customer, two bases apart; every seventh range is one too long."""
+    """(line_no, identifier, start, end, orderkey, custkey, graph, n): a walk per order of a customer, two bases apart; every seventh range is one too long."""
     from pyspark.sql.window import Window
 
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("orderkey"), F.col("o_custkey").cast("long").alias("custkey"))
     r = o.join(graph_sequences(spark, sf_dir), "orderkey").withColumn("n", F.length("graph").cast("long"))
     w = Window.partitionBy("custkey").orderBy("orderkey").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("n") + 2).over(w), F.lit(0))
-    return r.select(F.col("orderkey").alias("line_no"), F.concat(F.lit("c"), "custkey", F.lit("#1#chr")).alias("identifier"), start.alias("start"), (start + F.col("n") + F.when(F.col("orderkey") % 7 == 0, 1).otherwise(0)).alias("end"), "orderkey", "graph", "n")
+    return r.select(F.col("orderkey").alias("line_no"), F.concat(F.lit("c"), "custkey", F.lit("#1#chr")).alias("identifier"), start.alias("start"), (start + F.col("n") + F.when(F.col("orderkey") % 7 == 0, 1).otherwise(0)).alias("end"), "orderkey", "custkey", "graph", "n")
 
 
 def walk_traversals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +158,9 @@ def walk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(identifier, source_index, sequence) of each customer that has walks: their graphs with two bases after each; of every tenth customer the first base is another."""
     from .functions.sequences import ordered_concat
 
-    w = walk_records(spark, sf_dir).withColumn("k", F.split(F.substring("identifier", 2, 40), "#")[0].cast("long"))
-    s = w.groupBy("identifier", "k").agg(ordered_concat([F.col("start")], F.concat("graph", F.lit("AA"))).alias("s"))
+    # By customer first: walks are dealt by it already.
+    w = walk_records(spark, sf_dir)
+    s = w.groupBy("custkey").agg(F.first("identifier").alias("identifier"), ordered_concat([F.col("start")], F.concat("graph", F.lit("AA"))).alias("s"))
     other = F.when(F.substring("s", 1, 1) == "A", "C").otherwise("A")
-    changed = F.when(F.col("k") % 10 == 0, F.concat(other, F.substring(F.col("s"), F.lit(2), F.length("s")))).otherwise(F.col("s"))
-    return s.select("identifier", (F.col("k") % 2 + 1).alias("source_index"), changed.alias("sequence"))
+    changed = F.when(F.col("custkey") % 10 == 0, F.concat(other, F.substring(F.col("s"), F.lit(2), F.length("s")))).otherwise(F.col("s"))
+    return s.select("identifier", (F.col("custkey") % 2 + 1).alias("source_index"), changed.alias("sequence"))

@@ -57,8 +57,10 @@ def number(text: Column) -> Column:
 
 def segment_key(name: Column) -> Column:
     """Names that are positive numbers have one key however they are written; the prefix keeps both kinds apart."""
-    n = number(name)
-    return F.when(n > 0, F.concat(F.lit("#"), n.cast("string"))).otherwise(F.concat(F.lit("$"), name))
+    bare = F.ltrim(name, F.lit("0"))
+    # number() as text: as many digits as the largest has compare like numbers.
+    small = (F.length(bare) < len(LARGEST)) | ((F.length(bare) == len(LARGEST)) & (bare <= LARGEST))
+    return F.when((F.translate(name, "0123456789", "") == "") & (bare != "") & small, F.concat(F.lit("#"), bare)).otherwise(F.concat(F.lit("$"), name))
 
 
 def path_steps(text: Column) -> Column:
@@ -98,5 +100,5 @@ def percentage(count: Column, total: Column) -> Column:
 def ordered_concat(order: list[Column], text: Column) -> Column:
     """Aggregate: the texts of a group joined in the given order."""
     names = [f"k{i}" for i in range(len(order))]
-    rows = F.array_sort(F.collect_list(F.struct(*[c.alias(n) for c, n in zip(order, names)], text.alias("t"))))
-    return F.array_join(F.transform(rows, lambda x: x["t"]), "")
+    rows = F.sort_array(F.collect_list(F.struct(*[c.alias(n) for c, n in zip(order, names)], text.alias("t"))))
+    return F.array_join(rows["t"], "")

@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import ambiguous_bases
 from ..schemas import BASE_PARTS, STATUSES
-from .align import align
+from .align import align, ambiguous
 
 FIELDS = ["source_ambiguous_bases", "ambiguous_columns", "length_delta", *BASE_PARTS, "edit_distance", "alignment_status"]
 
 
-def _aligned(rows: DataFrame, max_cells: int) -> DataFrame:
-    """Divergent rows with `a`, the sums of the alignments of their records, which share the cells."""
-    fields = "ok boolean, matched long, substituted long, source_only long, graph_only long, ambiguous_columns long, graph_ambiguous long"
-    schema = "identifier string, a struct<" + ", ".join(f.replace(" ", ":") for f in fields.split(", ")) + ">"
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, sequence, parts in zip(pdf["identifier"].tolist(), pdf["sequence"].tolist(), pdf["parts"].tolist()):
-                left, sums, odd, ok = max_cells, [0] * 5, 0, True
-                for p in parts:
-                    odd += int(p["ambiguous"])
-                    start, end = p["start"], p["end"]
-                    bounded = start is not None and start == start and end is not None and end == end
-                    got = align(sequence[int(start) : int(end)] if bounded else sequence, p["graph"], left)
-                    if got is None:
-                        ok = False
-                        break
-                    left -= got.cells
-                    sums = [s + x for s, x in zip(sums, (got.matched, got.substituted, got.source_only, got.graph_only, got.ambiguous_columns))]
-                out.append((ok, *(sums if ok else [0] * 5), odd))
-            names = [f.split(" ")[0] for f in fields.split(", ")]
-            yield pd.DataFrame({"identifier": pdf["identifier"], "a": [dict(zip(names, x)) for x in out]})
-
-    return rows.select("identifier", "sequence", "parts").mapInPandas(run, schema)
+_SUMS = ["matched", "substituted", "source_only", "graph_only", "ambiguous_columns"]
+_ALIGNED = ", ".join(["ok boolean", *[f"{n} long" for n in _SUMS], "graph_ambiguous long"])
+
+
+def _alignments(max_cells: int):
+    """Function of a sequence and its parts: the sums of the alignments of the records, which share the cells; null for null."""
+
+    @F.arrow_udf("struct<" + _ALIGNED.replace(" ", ":").replace(",:", ",") + ">")
+    def run(sequences: pa.Array, parts: pa.Array) -> pa.Array:
+        parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+        flat = parts.flatten()
+        starts, ends, graphs = (flat.field(n).to_pylist() for n in ("start", "end", "graph"))
+        counts = pc.fill_null(pc.list_value_length(parts), 0).to_pylist()
+        out, at = [], 0
+        for sequence, count in zip(sequences.to_pylist(), counts):
+            if sequence is None:
+                out.append(None)
+                at += count
+                continue
+            left, sums, odd, ok = max_cells, [0] * 5, 0, True
+            for k in range(at, at + count):
+                graph, start, end = graphs[k], starts[k], ends[k]
+                odd += ambiguous(graph)
+                got = align(sequence if start is None or end is None else sequence[start:end], graph, left)
+                if got is None:
+                    ok = False
+                    break
+                left -= got.cells
+                sums = [s + x for s, x in zip(sums, (got.matched, got.substituted, got.source_only, got.graph_only, got.ambiguous_columns))]
+            at += count
+            out.append((ok, *(sums if ok else [0] * 5), odd))
+        given = np.array([x is not None for x in out], dtype=bool)
+        columns = [[x[i] if x else None for x in out] for i in range(7)]
+        arrays = [pa.array(c, pa.bool_() if i == 0 else pa.int64()) for i, c in enumerate(columns)]
+        return pa.StructArray.from_arrays(arrays, ["ok", *_SUMS, "graph_ambiguous"], mask=pa.array(~given))
+
+    return run
 
 
 def add_statistics(rows: DataFrame, memory_bytes: int, max_cells: int) -> DataFrame:
-    """Rows of outcomes() with the statistics fields. Only divergent rows within the memory limit go through Python."""
+    """Rows of outcomes() with the statistics fields. Only texts of divergent rows within the memory limit go through Python."""
     size = F.col("source_length") + F.col("graph_length")
     divergent = F.col("status") == "DIVERGENT"
-    found = _aligned(rows.where(divergent & (size <= memory_bytes)), max_cells)
-    rows = rows.join(found, "identifier", "left")
+    aligned = divergent & (size <= memory_bytes)
+    rows = rows.withColumn("a", _alignments(max_cells)(F.when(aligned, F.col("sequence")), F.when(aligned, F.col("parts"))))
     identical, no_path, no_source = (F.col("status") == s for s in ("IDENTICAL", "MISSING_PATH", "MISSING_SOURCE"))
     done = divergent & F.coalesce(F.col("a.ok"), F.lit(False))
     over = divergent & ~done
@@ -109,9 +123,12 @@ def aggregate_columns() -> list[Column]:
 
 def aggregates(outcomes: DataFrame) -> DataFrame:
     """Aggregates of everything, of each source and of each record type, as rows (source_index, record_type, level)."""
+    # Sums of each source and type first, so that what is summed three times is a few rows.
+    sums = outcomes.groupBy("source_index", "record_type").agg(*aggregate_columns())
     level = F.grouping_id().alias("level")
     sets = [[], [F.col("source_index")], [F.col("record_type")]]
-    rows = outcomes.groupingSets(sets, "source_index", "record_type").agg(level, *aggregate_columns())
+    names = [c for c in sums.columns if c not in ("source_index", "record_type")]
+    rows = sums.groupingSets(sets, "source_index", "record_type").agg(level, *[F.sum(c).cast("long").alias(c) for c in names])
     # level: 3 all, 1 by source, 2 by record type; rows without a source or a record belong to no group of theirs.
     return rows.where("level = 3 or (level = 1 and source_index is not null) or (level = 2 and record_type is not null)")
 

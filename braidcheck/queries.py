@@ -254,7 +254,7 @@ def step_offsets(spark, d):
     records = compare.ordered_records(B.path_traversals(spark, d))
     steps = compare.oriented_steps(records, B.keyed_segments(spark, d))
     lengths = B.sources(spark, d).select("identifier", F.length("sequence").cast("long").alias("source_length"))
-    return compare.step_offsets(steps, records, lengths).select("identifier", *_long("step_no", "offset", "limit"))
+    return compare.step_offsets(steps, lengths).select("identifier", *_long("step_no", "offset", "limit"))
 
 
 def first_divergence(spark, d):
@@ -333,7 +333,7 @@ def outcomes_sorted(spark, d):
 def chunked_range_join(spark, d):
     records = compare.ordered_records(B.path_traversals(spark, d))
     lengths = B.sources(spark, d).select("identifier", F.length("sequence").cast("long").alias("source_length"))
-    offsets = compare.step_offsets(compare.oriented_steps(records, B.keyed_segments(spark, d)), records, lengths)
+    offsets = compare.step_offsets(compare.oriented_steps(records, B.keyed_segments(spark, d)), lengths)
     p = compare.pieces(offsets).join(compare.chunks(B.sources(spark, d)), ["identifier", "chunk"])
     return p.select("identifier", *_long("step_no"), F.substring(C("text"), C("within") + 1, F.length("bases")).alias("there"))
 
